@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import chat, pieces, sharding, substring, toxicity
+from attesta.llm import chat, mixing, pieces, quality, sharding, simhash, substring, toxicity
 
 #: The folder of the public tokenizers is that package's; only the path is used, on driver and executors alike.
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -30,6 +30,21 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
 
 
+#: Target shares of the languages, of tokens.
+TARGETS = {"en": 0.55, "fr": 0.17, "de": 0.15, "es": 0.13}
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), TARGETS)
+    shares = [F.element_at("posteriors", F.lit(d)).alias(f"p_{d}") for d in sorted(TARGETS)]
+    rows = mixed.select("doc_id", "n_tokens", *shares, "rate", "n_copies", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return rows.drop("copy")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = pieces.encode(table(spark, sf_dir, "documents"), PIECE_MODEL)
     return coded.select("doc_id", "n_pieces", "ids_sha256", "round_trip")
@@ -42,6 +57,10 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_digests(turns.unionByName(extra))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.edited_likeness(table(spark, sf_dir, "documents"))
+
+
 def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring.drop_repeated_windows(table(spark, sf_dir, "documents"), 35)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
