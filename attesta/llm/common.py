@@ -100,3 +100,25 @@ def binaries(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
     data = np.ascontiguousarray(data)
     offsets = (np.asarray(bounds, np.int64) * data.itemsize).astype(np.int32)
     return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def _murmur3_int(value: int, seed: int = 42) -> int:
+    """Spark's hash of an int column, as a signed 32-bit number."""
+    rot = lambda x, r: ((x << r) | (x >> (32 - r))) & 0xFFFFFFFF
+    k = rot(value * 0xCC9E2D51 & 0xFFFFFFFF, 15) * 0x1B873593 & 0xFFFFFFFF
+    h = (rot(seed ^ k, 13) * 5 + 0xE6546B64) & 0xFFFFFFFF
+    h ^= 4
+    h = (h ^ (h >> 16)) * 0x85EBCA6B & 0xFFFFFFFF
+    h = (h ^ (h >> 13)) * 0xC2B2AE35 & 0xFFFFFFFF
+    h ^= h >> 16
+    return h - (1 << 32) if h >= 1 << 31 else h
+
+
+def one_part_each(n: int) -> np.ndarray:
+    """``n`` ints of which ``repartition(n, column)`` puts each in a partition of its own."""
+    found: dict[int, int] = {}
+    value = 0
+    while len(found) < n:
+        found.setdefault(_murmur3_int(value) % n, value)
+        value += 1
+    return np.array([found[p] for p in range(n)], np.int32)

@@ -10,24 +10,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import Rolling, binaries, hash_words, pick, shuffle_partitions, text_bytes, text_key
+from attesta.llm.common import Rolling, binaries, hash_words, one_part_each, pick, shuffle_partitions, text_bytes, text_key
 
 #: Perfect difference cover: every residue modulo the period is a difference of two members.
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
 #: Words gathered by a task before it sends what it found.
-FLUSH_WORDS = 1_500_000
+FLUSH_WORDS = 1_000_000
 BASES = (0x9E3779B97F4A7C15 | 3, 0xC2B2AE3D27D4EB4F | 3)
-SENT = pa.schema([("part", pa.int32()), ("h1", pa.binary()), ("h2", pa.binary()), ("who", pa.binary()), ("at", pa.binary()), ("ids", pa.binary())])
-SENT_DDL = "part int, h1 binary, h2 binary, who binary, at binary, ids binary"
+SENT = pa.schema([(c, pa.int32() if c == "part" else pa.binary()) for c in ("part", "h1", "h2", "low", "high", "counts", "ids")])
+SENT_DDL = "part int, h1 binary, h2 binary, low binary, high binary, counts binary, ids binary"
 FOUND = pa.schema([("key", pa.binary()), ("at", pa.binary())])
 FOUND_DDL = "key binary, at binary"
 
 
 class _Sender:
-    """Gathers (hash, document, position) and sends them as one row for each part of the hash space."""
+    """Gathers (hash, document, position) and sends them as one row for each part of the hash space.
 
-    def __init__(self, parts: int, double: bool):
-        self.parts, self.double, self.words = parts, double, 0
+    Hashes of ``kinds[0]`` bits within a part, and of ``kinds[1]`` more for whole windows; positions as two planes of 16
+    bits, the upper of which compresses away; each document's key once for its run of positions.
+    """
+
+    def __init__(self, parts: np.ndarray, kinds: tuple):
+        self.parts, self.kinds = parts, kinds
         self._clear()
 
     def _clear(self) -> None:
@@ -35,8 +39,8 @@ class _Sender:
 
     def add(self, key: bytes, h1: np.ndarray, h2: np.ndarray | None, at: np.ndarray, words: int) -> None:
         self.h1.append(h1)
-        if self.double:
-            self.h2.append(h2)
+        if h2 is not None:
+            self.h2.append(h2.astype(self.kinds[1]))
         self.at.append(at.astype(np.uint32))
         self.n.append(len(at))
         self.ids.append(key)
@@ -46,34 +50,33 @@ class _Sender:
         if self.n and sum(self.n):
             h1, at = np.concatenate(self.h1), np.concatenate(self.at)
             who = np.repeat(np.arange(len(self.n), dtype=np.uint32), self.n)
-            part = ((h1 >> np.uint64(32)) % np.uint64(self.parts)).astype(np.int32)
+            part = ((h1 >> np.uint64(32)) % np.uint64(len(self.parts))).astype(np.uint32)
             order = np.argsort(part, kind="stable")
-            part, h1, at, who = part[order], h1[order], at[order], who[order]
-            h2 = np.concatenate(self.h2)[order] if self.double else np.empty(0, np.uint64)
+            part, at, who = part[order], at[order], who[order]
+            h1 = h1[order].astype(self.kinds[0])
+            h2 = np.concatenate(self.h2)[order] if self.h2 else np.empty(0, np.uint16)
             cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
             bounds = np.r_[cuts, len(part)]
-            ids = np.frombuffer(b"".join(self.ids), np.uint64).reshape(-1, 2)
-            local, used = [], []
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                names, places = np.unique(who[a:b], return_inverse=True)
-                local.append(places.astype(np.uint32))
-                used.append(ids[names].tobytes())
-            empty = np.zeros(len(bounds), np.int64)
+            runs = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (who[1:] != who[:-1])])
+            counts = np.diff(np.r_[runs, len(part)]).astype(np.uint32)
+            ids = np.frombuffer(b"".join(self.ids), np.uint64).reshape(-1, 2)[who[runs]].reshape(-1)
+            groups = np.r_[np.searchsorted(runs, cuts), len(runs)]
+            low, high = (at & np.uint32(0xFFFF)).astype(np.uint16), (at >> np.uint32(16)).astype(np.uint16)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(part[cuts]), binaries(h1, bounds), binaries(h2, bounds if self.double else empty), binaries(np.concatenate(local), bounds), binaries(at, bounds), pa.array(used, pa.binary())], schema=SENT
+                [pa.array(self.parts[part[cuts]]), binaries(h1, bounds), binaries(h2, bounds if len(h2) else 0 * bounds), binaries(low, bounds), binaries(high, bounds), binaries(counts, groups), binaries(ids, 2 * groups)], schema=SENT
             )
         self._clear()
 
 
-def _anchors(parts: int, window: int):
+def _anchors(parts: np.ndarray, window: int):
     """Hashes of the anchor windows at cover positions of each text with at least one window."""
     length = window - PERIOD + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling, sender, cover = Rolling(BASES[0]), _Sender(parts, False), np.empty(0, np.int64)
+        rolling, sender, cover = Rolling(BASES[0]), _Sender(parts, (np.uint32, None)), np.empty(0, np.int64)
         for batch in batches:
             for key, text in zip(batch.column("key").to_pylist(), text_bytes(batch.column("text")), strict=True):
-                words = text.split()
+                words = (text or b"").split()
                 n = len(words)
                 if n < window:
                     continue
@@ -88,13 +91,15 @@ def _anchors(parts: int, window: int):
     return run
 
 
-def _candidates(parts: int, window: int):
+def _candidates(parts: np.ndarray, window: int):
     """Whole-window hashes of the windows that hold a repeated anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two, sender, seen = Rolling(BASES[0]), Rolling(BASES[1]), _Sender(parts, True), set()
+        one, two, sender, seen = Rolling(BASES[0]), Rolling(BASES[1]), _Sender(parts, (np.uint64, np.uint16)), set()
         for batch in batches:
             for key, text, many, hits in zip(*(batch.column(c).to_pylist() if c != "text" else text_bytes(batch.column(c)) for c in ("key", "text", "copied", "hits")), strict=True):
+                if not hits:
+                    continue
                 if many:  # copies of a text meet here: one of them stands for all
                     if key in seen:
                         continue
@@ -115,28 +120,39 @@ def _candidates(parts: int, window: int):
     return run
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _repeated(kinds: tuple):
     """Places whose hash is also found at another place: a row for each text with its positions.
 
     Gets whole parts of the hash space; a task's share is (all hashes) / partitions. One much repeated hash adds a
-    place for each text that holds it once, so it can't outgrow the texts themselves.
+    place for each text that holds it, so it can't outgrow the texts themselves.
     """
-    cols: dict[str, list] = {"h1": [], "h2": [], "at": [], "lo": [], "hi": []}
-    for batch in batches:
-        for h1, h2, who, at, ids in zip(*(batch.column(c).to_pylist() for c in ("h1", "h2", "who", "at", "ids")), strict=True):
-            pair = np.frombuffer(ids, np.uint64).reshape(-1, 2)[np.frombuffer(who, np.uint32)]
-            cols["h1"].append(np.frombuffer(h1, np.uint64))
-            cols["h2"].append(np.frombuffer(h2, np.uint64))
-            cols["at"].append(np.frombuffer(at, np.uint32))
-            cols["lo"].append(pair[:, 0])
-            cols["hi"].append(pair[:, 1])
-    if not cols["h1"]:
-        return
-    h1, h2, at, lo, hi = (np.concatenate(cols.pop(c)) for c in list(cols))
-    order = np.lexsort((h2, h1)) if len(h2) else np.argsort(h1, kind="stable")
-    same = h1[order][1:] == h1[order][:-1]
-    if len(h2):
-        same &= h2[order][1:] == h2[order][:-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("h1", "h2", "low", "high", "counts", "ids")
+        types = (kinds[0], kinds[1] or np.uint16, np.uint16, np.uint16, np.uint32, np.uint64)
+        cols: list[list] = [[] for _ in names]
+        parts: list[np.ndarray] = []
+        for batch in batches:
+            for part, *row in zip(*(batch.column(c).to_pylist() for c in ("part", *names)), strict=True):
+                for into, kind, raw in zip(cols, types, row, strict=True):
+                    into.append(np.frombuffer(raw, kind))
+                parts.append(np.full(len(cols[0][-1]), part, np.int32))
+        if parts:
+            yield from _places(np.concatenate(parts), *(np.concatenate(c) for c in cols))
+
+    return run
+
+
+def _places(part, h1, h2, low, high, counts, ids) -> Iterator[pa.RecordBatch]:
+    at = low.astype(np.uint32) | (high.astype(np.uint32) << np.uint32(16))
+    ids = np.repeat(ids.reshape(-1, 2), counts, axis=0)
+    lo, hi = ids[:, 0], ids[:, 1]
+    keys = (part, h2, h1) if len(h2) else (part, h1)
+    order = np.lexsort(keys)
+    same = np.ones(len(at) - 1, bool)
+    for k in keys:
+        k = k[order]
+        same &= k[1:] == k[:-1]
     group = np.cumsum(np.r_[True, ~same]) - 1
     first = np.flatnonzero(np.r_[True, ~same])[group]
     lo, hi, at = lo[order], hi[order], at[order]
@@ -190,7 +206,7 @@ def drop_repeated_windows(docs: DataFrame, window: int = 35, *, id_col: str = "d
 
     1. Anchors: each text hashes the (window - 20)-word windows at positions in a difference cover modulo 21. Two
        equal windows share, at some common shift below 21, an anchor at which both positions are in the cover.
-    2. Extension: only windows that hold a repeated anchor are hashed whole (128 bits) and compared.
+    2. Extension: only windows that hold a repeated anchor are hashed whole (80 bits within a part) and compared.
     3. Words under repeated windows go.
     Hashes travel packed, one row for each task's part of the hash space, and are compared by sorting in bounded parts.
     A text that occurs twice or more is repeated as a whole, so copies are found by key, not window by window.
@@ -202,19 +218,20 @@ def drop_repeated_windows(docs: DataFrame, window: int = 35, *, id_col: str = "d
     if window < PERIOD + 4:
         raise ValueError(f"a window needs {PERIOD + 4} words or more")
     spark = docs.sparkSession
-    n = shuffle_partitions(spark)
-    d = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("key", text_key(F.col("text")))
-    full = d.where("text is not null")
+    parts = one_part_each(shuffle_partitions(spark))
+    n = len(parts)
+    # both joins below read this by the same key and columns, so that Spark shuffles the texts once
+    d = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(text_key(F.col("text")), F.unhex(F.lit(""))).alias("key"))
 
-    def places(sent: DataFrame) -> DataFrame:
-        found = sent.repartition(n, "part").mapInArrow(_repeated, FOUND_DDL)
+    def places(sent: DataFrame, kinds: tuple) -> DataFrame:
+        found = sent.repartition(n, "part").mapInArrow(_repeated(kinds), FOUND_DDL)
         return found.groupBy("key").agg(F.collect_list("at").alias("hits"))
 
-    copied = full.groupBy("key").count().where("count > 1").select("key", F.lit(True).alias("copied"))
-    anchors = places(full.select("key", "text").mapInArrow(_anchors(8 * n, window), SENT_DDL))
+    copied = d.where("text is not null").groupBy("key").count().where("count > 1").select("key", F.lit(True).alias("copied"))
+    anchors = places(d.select("key", "text").mapInArrow(_anchors(parts, window), SENT_DDL), (np.uint32, None))
     marked = anchors.join(copied, "key", "left")
-    wide = full.select("key", "text").join(marked.hint("shuffle_hash"), "key").select("key", "text", "copied", "hits")
-    windows = places(wide.mapInArrow(_candidates(8 * n, window), SENT_DDL))
+    wide = d.join(marked.hint("shuffle_hash"), "key").select("doc_id", "key", "text", "copied", "hits")
+    windows = places(wide.mapInArrow(_candidates(parts, window), SENT_DDL), (np.uint64, np.uint16))
     verdicts = windows.join(copied, "key", "full_outer")
     last = d.join(verdicts.hint("shuffle_hash"), "key", "left").select("doc_id", "text", "copied", "hits")
     return last.mapInArrow(_removed(window), "doc_id long, n_words long, n_removed long, kept_text string")
