@@ -14,6 +14,19 @@ select d.doc_id, len(ws)::bigint n_words, len(coalesce(gone, []))::bigint n_remo
 from d left join g using (doc_id)
 """
 
+OP2 = r"""
+with recursive d as materialized (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws from documents),
+s as materialized (select doc_id, case when len(ws) = 0 then [] when len(ws) < 4 then [array_to_string(ws, ' ')]
+       else list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) end g from d),
+n as materialized (select doc_id, len(g)::bigint n from s),
+e as materialized (select doc_id, md5(unnest(g)) h from s),
+c as materialized (select a.doc_id a, b.doc_id b, count(*) k from e a join e b on a.h = b.h and a.doc_id < b.doc_id group by all),
+l as materialized (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 80 * (x.n + y.n - k)),
+u as materialized (select a, b from l union all select b, a from l),
+r as (select doc_id, doc_id reach from n union select r.doc_id, u.b from r join u on u.a = r.reach)
+select n.doc_id, n n_shingles, min(reach)::bigint component_id, n.doc_id = min(reach) kept from n join r using (doc_id) group by n.doc_id, n
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_substring": OP10}
+    return {"op2_minhash": OP2, "op10_substring": OP10}

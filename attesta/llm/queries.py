@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import chat, mixing, pieces, quality, sharding, simhash, substring, toxicity
+from attesta.llm import chat, mixing, neardup, pieces, quality, sharding, simhash, substring, toxicity
 
 #: The folder of the public tokenizers is that package's; only the path is used, on driver and executors alike.
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -22,6 +22,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.lpt_shards(table(spark, sf_dir, "documents"), 8)
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), 4, 80)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))

@@ -19,8 +19,10 @@ FLUSH_WORDS = 1_000_000
 BASES = (0x9E3779B97F4A7C15 | 3, 0xC2B2AE3D27D4EB4F | 3)
 SENT = pa.schema([(c, pa.int32() if c == "part" else pa.binary()) for c in ("part", "h1", "h2", "low", "high", "counts", "ids")])
 SENT_DDL = "part int, h1 binary, h2 binary, low binary, high binary, counts binary, ids binary"
-FOUND = pa.schema([("key", pa.binary()), ("at", pa.binary())])
-FOUND_DDL = "key binary, at binary"
+REPLY = pa.schema([(c, pa.int32() if c == "part" else pa.binary()) for c in ("part", "low", "high", "counts", "ids")])
+REPLY_DDL = "part int, low binary, high binary, counts binary, ids binary"
+FOUND = pa.schema([("key", pa.binary()), ("hits", pa.binary())])
+FOUND_DDL = "key binary, hits binary"
 
 
 class _Sender:
@@ -106,7 +108,7 @@ def _candidates(parts: np.ndarray, window: int):
                     seen.add(key)
                 words = text.split()
                 last = len(words) - window
-                at = np.frombuffer(b"".join(hits), np.uint32).astype(np.int64)
+                at = np.frombuffer(hits, np.uint32).astype(np.int64)
                 step = np.zeros(last + 2 + PERIOD, np.int64)
                 np.add.at(step, np.clip(at - PERIOD + 1, 0, last + 1), 1)
                 np.add.at(step, np.minimum(at, last) + 1, -1)
@@ -120,8 +122,8 @@ def _candidates(parts: np.ndarray, window: int):
     return run
 
 
-def _repeated(kinds: tuple):
-    """Places whose hash is also found at another place: a row for each text with its positions.
+def _repeated(kinds: tuple, parts: np.ndarray):
+    """Places whose hash is also found at another place, packed for the tasks that gather them by text.
 
     Gets whole parts of the hash space; a task's share is (all hashes) / partitions. One much repeated hash adds a
     place for each text that holds it, so it can't outgrow the texts themselves.
@@ -131,19 +133,19 @@ def _repeated(kinds: tuple):
         names = ("h1", "h2", "low", "high", "counts", "ids")
         types = (kinds[0], kinds[1] or np.uint16, np.uint16, np.uint16, np.uint32, np.uint64)
         cols: list[list] = [[] for _ in names]
-        parts: list[np.ndarray] = []
+        where: list[np.ndarray] = []
         for batch in batches:
             for part, *row in zip(*(batch.column(c).to_pylist() for c in ("part", *names)), strict=True):
                 for into, kind, raw in zip(cols, types, row, strict=True):
                     into.append(np.frombuffer(raw, kind))
-                parts.append(np.full(len(cols[0][-1]), part, np.int32))
-        if parts:
-            yield from _places(np.concatenate(parts), *(np.concatenate(c) for c in cols))
+                where.append(np.full(len(cols[0][-1]), part, np.int32))
+        if where:
+            yield from _places(parts, np.concatenate(where), *(np.concatenate(c) for c in cols))
 
     return run
 
 
-def _places(part, h1, h2, low, high, counts, ids) -> Iterator[pa.RecordBatch]:
+def _places(parts, part, h1, h2, low, high, counts, ids) -> Iterator[pa.RecordBatch]:
     at = low.astype(np.uint32) | (high.astype(np.uint32) << np.uint32(16))
     ids = np.repeat(ids.reshape(-1, 2), counts, axis=0)
     lo, hi = ids[:, 0], ids[:, 1]
@@ -161,14 +163,40 @@ def _places(part, h1, h2, low, high, counts, ids) -> Iterator[pa.RecordBatch]:
     lo, hi, at = lo[keep], hi[keep], at[keep]
     if not len(at):
         return
-    order = np.lexsort((at, lo, hi))
-    lo, hi, at = lo[order], hi[order], at[order]
+    to = (lo % np.uint64(len(parts))).astype(np.uint32)
+    lo, hi, at, to, runs = _by_text(lo, hi, at, to)
+    counts = np.diff(np.r_[runs, len(at)]).astype(np.uint32)
+    cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
+    bounds, groups = np.r_[cuts, len(to)], np.r_[np.searchsorted(runs, cuts), len(runs)]
+    keys = np.stack([lo[runs], hi[runs]], axis=1).reshape(-1)
+    low, high = (at & np.uint32(0xFFFF)).astype(np.uint16), (at >> np.uint32(16)).astype(np.uint16)
+    yield pa.RecordBatch.from_arrays([pa.array(parts[to[cuts]]), binaries(low, bounds), binaries(high, bounds), binaries(counts, groups), binaries(keys, 2 * groups)], schema=REPLY)
+
+
+def _by_text(lo, hi, at, to):
+    """Sorted by (to, text, position) without repeats, and where each text's run starts."""
+    order = np.lexsort((at, lo, hi, to))
+    lo, hi, at, to = lo[order], hi[order], at[order], to[order]
     fresh = np.r_[True, (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]) | (at[1:] != at[:-1])]
-    lo, hi, at = lo[fresh], hi[fresh], at[fresh]
-    cuts = np.flatnonzero(np.r_[True, (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
+    lo, hi, at, to = lo[fresh], hi[fresh], at[fresh], to[fresh]
+    return lo, hi, at, to, np.flatnonzero(np.r_[True, (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each text, with all positions found for it."""
+    ids, ats = [], []
+    for batch in batches:
+        for low, high, counts, keys in zip(*(batch.column(c).to_pylist() for c in ("low", "high", "counts", "ids")), strict=True):
+            ats.append(np.frombuffer(low, np.uint16).astype(np.uint32) | (np.frombuffer(high, np.uint16).astype(np.uint32) << np.uint32(16)))
+            ids.append(np.repeat(np.frombuffer(keys, np.uint64).reshape(-1, 2), np.frombuffer(counts, np.uint32), axis=0))
+    if not ats:
+        return
+    pair, at = np.concatenate(ids), np.concatenate(ats)
+    lo, hi, at, _, cuts = _by_text(pair[:, 0], pair[:, 1], at, np.zeros(len(at), np.uint8))
     keys = np.stack([lo[cuts], hi[cuts]], axis=1).reshape(-1)
-    for i in range(0, len(cuts), 20_000):
-        some = np.r_[cuts[i : i + 20_001], len(at)] if i + 20_000 >= len(cuts) else cuts[i : i + 20_001]
+    bounds = np.r_[cuts, len(at)]
+    for i in range(0, len(cuts), 10_000):
+        some = bounds[i : i + 10_001]
         n = len(some) - 1
         yield pa.RecordBatch.from_arrays([binaries(keys[2 * i : 2 * (i + n)], 2 * np.arange(n + 1)), binaries(at[some[0] : some[-1]], some - some[0])], schema=FOUND)
 
@@ -186,7 +214,7 @@ def _removed(window: int):
                 if many and n >= window:
                     kept: list[bytes] = []
                 elif hits:
-                    at = np.frombuffer(b"".join(hits), np.uint32).astype(np.int64)
+                    at = np.frombuffer(hits, np.uint32).astype(np.int64)
                     step = np.zeros(n + 1, np.int64)
                     np.add.at(step, at, 1)
                     np.add.at(step, at + window, -1)
@@ -208,7 +236,8 @@ def drop_repeated_windows(docs: DataFrame, window: int = 35, *, id_col: str = "d
        equal windows share, at some common shift below 21, an anchor at which both positions are in the cover.
     2. Extension: only windows that hold a repeated anchor are hashed whole (80 bits within a part) and compared.
     3. Words under repeated windows go.
-    Hashes travel packed, one row for each task's part of the hash space, and are compared by sorting in bounded parts.
+    Hashes travel packed, one row for each task's part of the hash space, and are compared by sorting in bounded parts;
+    what is found goes back packed by text.
     A text that occurs twice or more is repeated as a whole, so copies are found by key, not window by window.
 
     Returns ``doc_id, n_words, n_removed, kept_text`` for each input row, kept words joined by one space. Windows are
@@ -224,8 +253,8 @@ def drop_repeated_windows(docs: DataFrame, window: int = 35, *, id_col: str = "d
     d = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(text_key(F.col("text")), F.unhex(F.lit(""))).alias("key"))
 
     def places(sent: DataFrame, kinds: tuple) -> DataFrame:
-        found = sent.repartition(n, "part").mapInArrow(_repeated(kinds), FOUND_DDL)
-        return found.groupBy("key").agg(F.collect_list("at").alias("hits"))
+        replies = sent.repartition(n, "part").mapInArrow(_repeated(kinds, parts), REPLY_DDL)
+        return replies.repartition(n, "part").mapInArrow(_gathered, FOUND_DDL)
 
     copied = d.where("text is not null").groupBy("key").count().where("count > 1").select("key", F.lit(True).alias("copied"))
     anchors = places(d.select("key", "text").mapInArrow(_anchors(parts, window), SENT_DDL), (np.uint32, None))
