@@ -99,7 +99,9 @@ def edited_likeness(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     both = texts.join(given.hint("shuffle_hash"), "rk").withColumn("edited", F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 4) as int))"), "head"))
     both = both.withColumn("w", words_of(F.col("text"))).withColumn("e", words_of(F.col("edited")))
     sides = F.concat(F.transform(terms(F.col("text"), F.col("w"), shingle), lambda h: F.struct(F.lit(0).alias("side"), h.alias("h"))), F.transform(terms(F.col("edited"), F.col("e"), shingle), lambda h: F.struct(F.lit(1).alias("side"), h.alias("h"))))
-    h = both.select("rk", "doc_id", "copies", n.cast("long").alias("n_chars"), F.unhex(F.sha2("edited", 256)).alias("sha"), F.explode_outer(sides).alias("x"))
+    # all of a row's own values are made below the generator, not again for each term
+    wide = both.select("rk", "doc_id", "copies", n.cast("long").alias("n_chars"), F.unhex(F.sha2("edited", 256)).alias("sha"), sides.alias("terms"))
+    h = wide.select("rk", "doc_id", "copies", "n_chars", "sha", F.explode_outer("terms").alias("x"))
     one = ["rk", "doc_id", "copies", "n_chars", "sha"]
     sums = h.groupBy(*one, F.coalesce("x.side", F.lit(0)).alias("side")).agg(F.count("x.h").alias("n"), *votes(F.col("x.h")))
     fps = sums.select(*one, "side", signed_bits(F.col("n")).alias("fp"))
