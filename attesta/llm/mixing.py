@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from attesta.llm.common import pick, staged
 from attesta.llm.quality import words_of
-from attesta.llm.simhash import _rows
+from attesta.llm.simhash import _rows, row_key
 
 BUCKETS = 4096
 
@@ -123,3 +123,12 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, id_c
     u = F.pmod(F.xxhash64("rk", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
     out = members.withColumn("rate", rates.column(F.col("p")))
     return out.select("rk", "doc_id", "copies", F.col("tokens").alias("n_tokens"), F.map_from_arrays(F.array(*[F.lit(d) for d in domains]), "p").alias("posteriors"), "rate", F.floor(F.col("rate") + u).cast("int").alias("n_copies"))
+
+
+def mixed_rows(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "lang", lower: float = 0.0, keep_all: bool = False) -> DataFrame:
+    """The rows of ``docs``, with all their columns, each as often as ``mix`` says."""
+    rates = mix(docs, labelled, targets, id_col=id_col, text_col=text_col, domain_col=domain_col, lower=lower, keep_all=keep_all)
+    times = rates.where("n_copies > 0").select(F.col("rk").alias("__rk"), "n_copies")
+    names = docs.columns
+    out = docs.withColumn("__rk", row_key(docs[id_col], docs[text_col])).join(times, "__rk")
+    return out.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), times["n_copies"]))).select(*[docs[c] for c in names])

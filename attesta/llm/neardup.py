@@ -52,7 +52,7 @@ def set_key(hashes: np.ndarray) -> bytes:
 
 
 def _sketches(words_each: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("sig", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("sig", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling(0x9E3779B97F4A7C15 | 3)
@@ -63,7 +63,7 @@ def _sketches(words_each: int):
                 n.append(len(h))
                 keys.append(set_key(h) if len(h) else None)
                 sigs.append(signature(h).tobytes() if len(h) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], schema=schema)
 
     return run
 
@@ -181,23 +181,23 @@ def _confirmed(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, words_each: int = 5, percent: int = 80, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Links documents whose shingle sets have a Jaccard similarity of ``percent`` or more and labels the components.
+def labelled(docs: DataFrame, words_each: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, text_hash, n, key, root, component`` of each row.
+
+    Links documents whose shingle sets have a Jaccard similarity of ``percent`` or more and labels the components.
 
     Texts with equal sets are one class and are handled once. Buckets propose a spanning forest of candidates, which is
     confirmed on full sets; components that this joins need no further comparison; all candidates that are still apart
     are then proposed and confirmed too, so no confirmed link between different texts is lost. Large buckets are
     compared in blocks of texts, a task for each pair of blocks.
 
-    Returns ``doc_id, n_shingles, component_id, kept`` for each row: the least id reachable and whether it is this row's
-    own. Texts without words (null, empty) have an empty set and link with nothing: they are their own component, also
-    if their id is null. A shorter text is one shingle. Rows that repeat an id are each judged by their text; rows with a
-    null id are linked but can't be the least, unless their component has no other id (then it and ``kept`` are null).
+    ``key`` is null for texts without words; ``root`` names the component, ``component`` is its least id.
     """
     spark = docs.sparkSession
     n_parts = shuffle_partitions(spark)
-    d = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    sketches = staged(d.mapInArrow(_sketches(words_each), "doc_id long, n long, key binary, sig binary"), "minhash")
+    d = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    hashed = d.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    sketches = staged(hashed.mapInArrow(_sketches(words_each), "doc_id long, text_hash long, n long, key binary, sig binary"), "minhash")
     nodes = staged(sketches.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig")), "minhash-classes")
 
     size = 4 * WIDTH
@@ -225,10 +225,35 @@ def near_duplicates(docs: DataFrame, words_each: int = 5, percent: int = 80, *,
         label = components(links)
 
     if label is None:
-        groups = nodes.select("key", F.col("least").alias("component"))
+        groups = nodes.select("key", F.col("key").alias("root"), F.col("least").alias("component"))
     else:
         rooted = nodes.join(label, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("root", "key").alias("root"))
-        groups = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("key", "component")
-    out = sketches.select("doc_id", "n", "key").join(groups, "key", "left")
+        groups = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("key", "root", "component")
+    return sketches.select("doc_id", "text_hash", "n", "key").join(groups, "key", "left")
+
+
+def near_duplicates(docs: DataFrame, words_each: int = 5, percent: int = 80, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Links and labels documents as ``labelled`` says.
+
+    Returns ``doc_id, n_shingles, component_id, kept`` for each row: the least id reachable and whether it is this row's
+    own. Texts without words (null, empty) have an empty set and link with nothing: they are their own component, also
+    if their id is null. A shorter text is one shingle. Rows that repeat an id are each judged by their text; rows with a
+    null id are linked but can't be the least, unless their component has no other id (then it and ``kept`` are null).
+    """
+    out = labelled(docs, words_each, percent, id_col, text_col)
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, words_each: int = 5, percent: int = 80, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stand for their component: the one of least id (nulls last).
+
+    Texts without words all stay. Rows equal in id and text count as one. An empty table gives no rows.
+    """
+    out = labelled(docs, words_each, percent, id_col, text_col)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("m")
+    stay = out.where("key is not null").groupBy("root").agg(first).select("m.doc_id", "m.text_hash")
+    stay = stay.unionByName(out.where("key is null").select("doc_id", "text_hash")).distinct()
+    d = docs.withColumn("__text_hash", F.xxhash64(F.coalesce(docs[text_col], F.lit(""))))
+    kept = d.join(stay, d[id_col].cast("long").eqNullSafe(stay["doc_id"]) & (d["__text_hash"] == stay["text_hash"]), "left_semi")
+    return kept.dropDuplicates([id_col, "__text_hash"]).drop("__text_hash")

@@ -46,10 +46,11 @@ def repeated_words(sorted_grams: Column) -> Column:
     return F.size(F.array_distinct(F.flatten(F.transform(twice, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))))).cast("long")
 
 
-def features(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+def features(docs: DataFrame, id_col: str, text_col: str, lang_col: str, text_hash: bool = False) -> DataFrame:
     """One narrow row for each document: base counts and the two histograms, without leaving the row."""
     d = pick(docs, doc_id=id_col, text=text_col, lang=lang_col).withColumn("text", F.coalesce("text", F.lit("")))
     d = d.withColumn("words", words_of(F.col("text")))
+    extra = [F.xxhash64("text").alias("text_hash")] if text_hash else []
     w = F.col("words")
     near = lambda x, i: F.struct(F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i"))
     d = d.withColumn("grams", F.slice(F.transform("words", near), 1, F.greatest(F.size("words") - 2, F.lit(0))))
@@ -65,11 +66,11 @@ def features(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Data
         "mark": F.regexp_count(t, F.lit(r"[!?'\"()\[\]{}/\\=_+@~^-]")),
         "lower": F.length(t) - F.length(F.regexp_replace(t, r"\p{Ll}+", "")),
     }
-    d = d.select("doc_id", "lang", *[c.alias(n) for n, c in base.items()], F.length(t).alias("n_chars"), repeated_words(F.col("sorted")).alias("n_repeat_words"), "common", *[c.alias(n) for n, c in classes.items()])
+    d = d.select("doc_id", "lang", *[c.alias(n) for n, c in base.items()], F.length(t).alias("n_chars"), repeated_words(F.col("sorted")).alias("n_repeat_words"), "common", *extra, *[c.alias(n) for n, c in classes.items()])
     known = F.col("upper") + F.col("digit") + F.col("stop") + F.col("mark") + F.col("lower")
     d = d.withColumn("space", F.col("n_chars") - F.col("word_chars")).withColumn("symbol", F.col("n_symbols")).withColumn("other", F.col("n_chars") - known - F.col("n_chars") + F.col("word_chars") - F.col("n_symbols"))
     hist = F.array(*[(F.size("common") - F.size(F.array_remove("common", x))).cast("long") for x in COMMON_WORDS], (F.col("n_words") - F.size("common")).cast("long"))
-    return d.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.array(*[F.col(c).cast("long") for c in CLASSES]).alias("classes"), hist.alias("common"))
+    return d.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.array(*[F.col(c).cast("long") for c in CLASSES]).alias("classes"), hist.alias("common"), *(["text_hash"] if text_hash else []))
 
 
 def jensen_shannon(p: Column, q: list[float]) -> Column:
@@ -98,7 +99,7 @@ def references(shares: DataFrame) -> dict[str, dict[str, list[float]]]:
     return out
 
 
-def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", text_hash: bool = False) -> DataFrame:
     """Base counts and the verdict of each document.
 
     ``base_failed``: fewer than 50 words, or over half of the words in repeated 3-word windows. Else, a document is
@@ -106,9 +107,9 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     classes and, from ``MIN_COMMON_WORDS`` words on, within ``MAX_COMMON_DISTANCE`` by common words.
     References come from all documents of each language in the table; with none, only the base rules hold. A null text counts
     as empty; null, unknown or wrong languages don't matter to a document's verdict. Rows are judged one by one, so
-    repeated rows and ids get a row each.
+    repeated rows and ids get a row each. ``text_hash`` adds a hash of the text, to find the row again.
     """
-    feats = staged(features(docs, id_col, text_col, lang_col), "quality")
+    feats = staged(features(docs, id_col, text_col, lang_col, text_hash), "quality")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     share = lambda c: F.transform(c, lambda x: x / F.greatest(F.aggregate(c, F.lit(0).cast("long"), lambda s, y: s + y), F.lit(1)))
     d = feats.withColumn("base_failed", failed).withColumn("classes", share("classes")).withColumn("common", share("common"))
@@ -116,4 +117,11 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     nearest = lambda kind: F.array_min(F.array(*[F.round(jensen_shannon(F.col(kind), r[kind]), 6) for r in refs.values()])) if refs else F.lit(0.0)
     d = d.withColumn("class_distance", nearest("classes")).withColumn("common_distance", nearest("common"))
     fits = (F.col("class_distance") <= CLASS_DISTANCE + CLASS_DISTANCE_WORDS / F.greatest(F.col("n_words"), F.lit(1))) & ((F.col("n_words") < MIN_COMMON_WORDS) | (F.col("common_distance") <= MAX_COMMON_DISTANCE))
-    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & fits).alias("kept"), "class_distance", "common_distance")
+    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & fits).alias("kept"), "class_distance", "common_distance", *(["text_hash"] if text_hash else []))
+
+
+def keep_good(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns. The verdict depends on the text only."""
+    verdicts = judge(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, text_hash=True)
+    good = verdicts.where("kept").select("doc_id", "text_hash").distinct()
+    return docs.join(good, docs[id_col].eqNullSafe(good["doc_id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == good["text_hash"]), "left_semi")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import chat, mixing, neardup, pieces, quality, sharding, simhash, substring, toxicity
+from attesta.llm import chat, licenses, mixing, neardup, pieces, quality, sharding, simhash, substring, toxicity
 
 #: The folder of the public tokenizers is that package's; only the path is used, on driver and executors alike.
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -61,6 +61,15 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_digests(turns.unionByName(extra))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    sure = F.filter("hits", lambda h: h["confirmed"])
+    families = F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda h: h["family"]))), ",")
+    best = F.round(F.array_max(F.transform("hits", lambda h: h["probability"])), 6)
+    scanned = licenses.scan(docs, licenses.fit(docs))
+    return scanned.select("doc_id", "n_paragraphs", F.size("hits").cast("long").alias("n_hits"), F.size(sure).cast("long").alias("n_confirmed"), families.alias("families"), best.alias("best_probability"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.edited_likeness(table(spark, sf_dir, "documents"))
 

@@ -46,10 +46,15 @@ def likeness(a: Column, b: Column) -> Column:
     return 1 - F.bit_count(a.bitwiseXOR(b)) / F.lit(64.0)
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """16 bytes that stand for an id and a text; a null text is an empty one."""
+    rk = F.substring(F.unhex(F.sha2(F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("null")), F.coalesce(text, F.lit(""))), 256)), 1, 16)
+    return F.coalesce(rk, F.unhex(F.lit("")))
+
+
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     d = pick(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    rk = F.substring(F.unhex(F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text"), 256)), 1, 16)
-    return d.withColumn("rk", F.coalesce(rk, F.unhex(F.lit(""))))
+    return d.withColumn("rk", row_key(F.col("doc_id"), F.col("text")))
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -201,14 +202,31 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([binaries(keys[2 * i : 2 * (i + n)], 2 * np.arange(n + 1)), binaries(at[some[0] : some[-1]], some - some[0])], schema=FOUND)
 
 
-def _removed(window: int):
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def _layout(text: bytes, stay: np.ndarray) -> bytes:
+    """The words that stay, each with the white space before it."""
+    out, before = [], 0
+    for m, keep in zip(WORD.finditer(text), stay.tolist(), strict=True):
+        if keep:
+            out.append(text[before : m.end()])
+        before = m.end()
+    return b"".join(out).lstrip() if len(stay) and not stay[0] else b"".join(out)
+
+
+def _removed(window: int, layout: bool):
     """Counts and the words that stay, given the starts of repeated windows."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], []]
             for text, many, hits in zip(text_bytes(batch.column("text")), batch.column("copied").to_pylist(), batch.column("hits").to_pylist(), strict=True):
+                if layout and not hits and not many:
+                    n = len((text or b"").split())
+                    for into, value in zip(out, (n, 0, text), strict=True):
+                        into.append(value if value is not text or text is None else text.decode())
+                    continue
                 words = (text or b"").split()
                 n = len(words)
                 if many and n >= window:
@@ -223,13 +241,18 @@ def _removed(window: int):
                     kept = words
                 out[0].append(n)
                 out[1].append(n - len(kept))
-                out[2].append(b" ".join(kept).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], schema=schema)
+                if layout and n == len(kept):
+                    out[2].append(None if text is None else text.decode())
+                elif layout and kept:
+                    out[2].append(_layout(text, np.cumsum(step)[:n] == 0).decode("utf-8", "replace"))
+                else:
+                    out[2].append(b" ".join(kept).decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), batch.column("carried")], names=["doc_id", "n_words", "n_removed", "kept_text", "carried"])
 
     return run
 
 
-def drop_repeated_windows(docs: DataFrame, window: int = 35, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_repeated_windows(docs: DataFrame, window: int = 35, *, id_col: str = "doc_id", text_col: str = "text", layout: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Removes every word covered by a ``window``-word sequence that also starts anywhere else in the corpus.
 
     1. Anchors: each text hashes the (window - 20)-word windows at positions in a difference cover modulo 21. Two
@@ -240,8 +263,9 @@ def drop_repeated_windows(docs: DataFrame, window: int = 35, *, id_col: str = "d
     what is found goes back packed by text.
     A text that occurs twice or more is repeated as a whole, so copies are found by key, not window by window.
 
-    Returns ``doc_id, n_words, n_removed, kept_text`` for each input row, kept words joined by one space. Windows are
-    judged on the input. A null or empty text has no words; texts shorter than ``window`` keep everything; null ids and
+    Returns ``doc_id, n_words, n_removed, kept_text`` for each input row, kept words joined by one space (with
+    ``layout``, each after its own white space, and texts that lose nothing unchanged), and ``carried``, a struct of the
+    columns named in ``carry``. Windows are judged on the input. A null or empty text has no words; texts shorter than ``window`` keep everything; null ids and
     repeated rows are allowed (rows with equal text count as copies whatever their ids).
     """
     if window < PERIOD + 4:
@@ -250,7 +274,9 @@ def drop_repeated_windows(docs: DataFrame, window: int = 35, *, id_col: str = "d
     parts = one_part_each(shuffle_partitions(spark))
     n = len(parts)
     # both joins below read this by the same key and columns, so that Spark shuffles the texts once
-    d = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(text_key(F.col("text")), F.unhex(F.lit(""))).alias("key"))
+    carried = F.struct(*[docs[c].alias(c) for c in carry]) if carry else F.lit(None).cast("int")
+    d = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), carried.alias("carried"))
+    d = d.withColumn("key", F.coalesce(text_key(F.col("text")), F.unhex(F.lit(""))))
 
     def places(sent: DataFrame, kinds: tuple) -> DataFrame:
         replies = sent.repartition(n, "part").mapInArrow(_repeated(kinds, parts), REPLY_DDL)
@@ -259,11 +285,11 @@ def drop_repeated_windows(docs: DataFrame, window: int = 35, *, id_col: str = "d
     copied = d.where("text is not null").groupBy("key").count().where("count > 1").select("key", F.lit(True).alias("copied"))
     anchors = places(d.select("key", "text").mapInArrow(_anchors(parts, window), SENT_DDL), (np.uint32, None))
     marked = anchors.join(copied, "key", "left")
-    wide = d.join(marked.hint("shuffle_hash"), "key").select("doc_id", "key", "text", "copied", "hits")
+    wide = d.join(marked.hint("shuffle_hash"), "key").select("doc_id", "key", "text", "copied", "hits", "carried")
     windows = places(wide.mapInArrow(_candidates(parts, window), SENT_DDL), (np.uint64, np.uint16))
     verdicts = windows.join(copied, "key", "full_outer")
-    last = d.join(verdicts.hint("shuffle_hash"), "key", "left").select("doc_id", "text", "copied", "hits")
-    return last.mapInArrow(_removed(window), "doc_id long, n_words long, n_removed long, kept_text string")
+    last = d.join(verdicts.hint("shuffle_hash"), "key", "left").select("doc_id", "text", "copied", "hits", "carried")
+    return last.mapInArrow(_removed(window, layout), f"doc_id long, n_words long, n_removed long, kept_text string, carried {d.schema['carried'].dataType.simpleString()}")
 
 
 def sha256_hex(text: str) -> str:

@@ -1,15 +1,57 @@
-"""Corpus pipeline: quality rules, near-dedup, substring dedup, mixing, SentencePiece encoding."""
+"""Corpus pipeline: quality rules, near-dedup, substring dedup, mixing, SentencePiece encoding.
+
+Each stage takes (spark, docs, sf_dir), works on all its predecessor kept and returns the columns of ``documents``; the
+last returns encoded rows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from attesta.llm import mixing, neardup, pieces, quality, substring
+from attesta.llm.queries import PIECE_MODEL, TARGETS, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs).select(*COLUMNS)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Five-word shingles, similarity 0.8."""
+    return neardup.deduplicated(docs, 5, 80).select(*COLUMNS)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A document keeps its row even if all its words repeat elsewhere; ``n_chars`` follows the text."""
+    kept = substring.drop_repeated_windows(docs, 35, layout=True, carry=("lang", "source"))
+    return kept.select("doc_id", F.col("kept_text").alias("text"), "carried.lang", "carried.source", F.length("kept_text").cast("long").alias("n_chars"))
+
+
+def to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """No document is lost: those of languages below their target come more than once."""
+    return mixing.mixed_rows(docs, table(spark, sf_dir, "labels"), TARGETS, keep_all=True).select(*COLUMNS)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pieces.encode(docs, PIECE_MODEL).select("doc_id", "ids", "n_pieces", "ids_sha256", "round_trip")
+
 
-STAGES: list = []
+STAGES = [
+    ("quality rules", good_documents),
+    ("MinHash near-dedup", one_of_each),
+    ("substring dedup", without_repeats),
+    ("mixing to target weights", to_targets),
+    ("SentencePiece encoding", encoded),
+]
+#: Shingle links, mixing rates and the encoding have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs
