@@ -1,5 +1,7 @@
 """DuckDB SQL for the registered queries that SQL can express."""
 
+from attesta.llm import quality
+
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 OP10 = f"""
@@ -28,5 +30,45 @@ select n.doc_id, n n_shingles, min(reach)::bigint component_id, n.doc_id = min(r
 """
 
 
+def _quoted(values) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+OP5 = rf"""
+with d as materialized (select row_number() over () rid, doc_id, lang, coalesce(text, '') t from documents),
+w as materialized (select rid, doc_id, lang, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') ws from d),
+g as (select rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] g from (select rid, ws, unnest(range(1, len(ws) - 1)) i from w where len(ws) >= 3)),
+r as (select rid, count(distinct i + k) n from (select rid, i, count(*) over (partition by rid, g) c from g), range(3) o(k) where c > 1 group by rid),
+b as materialized (select rid, doc_id, lang, t, ws, len(ws)::bigint n_words, length(translate(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), ''))::bigint word_chars,
+  (length(t) - length(translate(t, '{quality.SYMBOLS}', '')))::bigint n_symbols, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) ls,
+  coalesce(n, 0)::bigint n_repeat_words from w left join r using (rid)),
+c as (select *, (len(ls) - len(list_distinct(ls)))::bigint n_dup_lines, n_words < {quality.MIN_WORDS} or 100 * n_repeat_words > 50 * n_words base_failed,
+  length(t) - length(regexp_replace(t, '\p{{Lu}}', '', 'g')) up, length(t) - length(regexp_replace(t, '[0-9]', '', 'g')) dg, length(t) - length(regexp_replace(t, '[.,;:]', '', 'g')) st,
+  length(t) - length(regexp_replace(t, '[!?''"()\[\]{{}}/\\=_+@~^-]', '', 'g')) mk, length(t) - length(regexp_replace(t, '\p{{Ll}}', '', 'g')) lo,
+  list_filter(list_transform(ws, lambda x: lower(x)), lambda x: x in ({_quoted(quality.COMMON_WORDS)})) cw from b),
+h as materialized (select rid, lang, base_failed, 'classes' kind, unnest([lo, up, dg, length(t) - word_chars, st, mk, n_symbols, word_chars - up - dg - st - mk - lo - n_symbols]) v, unnest(range({len(quality.CLASSES)})) i, length(t) total from c
+  union all select rid, lang, base_failed, 'common', unnest(list_transform([{_quoted(quality.COMMON_WORDS)}], lambda x: len(cw) - len(list_filter(cw, lambda y: y <> x))) || [n_words - len(cw)]), unnest(range({len(quality.COMMON_WORDS) + 1})), n_words from c),
+s as materialized (select *, v / greatest(total, 1) p from h),
+m as (select lang, kind, i, avg(sqrt(p)) ** 2 q from s where lang in ({_quoted(quality.LANGUAGES)}) and not base_failed group by all),
+q as (select lang, kind, i, q / sum(q) over (partition by lang, kind) q from m),
+j as (select rid, kind, q.lang, round(sqrt(greatest(sum((case when p > 0 then p * log2(p / ((p + q) / 2)) else 0 end + case when q > 0 then q * log2(q / ((p + q) / 2)) else 0 end) / 2), 0)), 6) x from s join q using (kind, i) group by all),
+n as (select rid, coalesce(min(x) filter (kind = 'classes'), 0) class_distance, coalesce(min(x) filter (kind = 'common'), 0) common_distance from j group by rid)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, common_distance,
+  not base_failed and class_distance <= {quality.CLASS_DISTANCE} + {quality.CLASS_DISTANCE_WORDS} / greatest(n_words, 1) and (n_words < {quality.MIN_COMMON_WORDS} or common_distance <= {quality.MAX_COMMON_DISTANCE}) kept
+from c left join n using (rid)
+"""
+
+OP7 = r"""
+with t as (select conv_id, turn, coalesce(role, '') role, coalesce(text, '') text from conversations
+  union all select -1, i, ['user', 'assistant'][i + 1], '<|im_end|><|im_start|>assistant ok' from range(2) o(i)),
+e as (select *, replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n') r, replace(replace(text, '\', '\\'), '<|', '<\|') x from t),
+f as (select *, '<|im_start|>' || r || chr(10) || x || '<|im_end|>' || chr(10) y from e)
+select conv_id, count(*)::bigint n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint loss_chars, sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) loss_sha256,
+  sum(length(y))::bigint formatted_chars, sha256(string_agg(y, '' order by turn, role, text)) formatted_sha256, false rewrites_history
+from f group by conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash": OP2, "op10_substring": OP10}
+    return {"op2_minhash": OP2, "op5_quality": OP5, "op7_chat": OP7, "op10_substring": OP10}
