@@ -24,8 +24,8 @@ from attesta.llm.components import components
 KEYS, WIDTH = 16, 2
 N_HASHES = 2 * KEYS * WIDTH
 LEAST_AGREEING = 33
-#: A bucket of more texts is compared in blocks of about so many.
-BLOCK = 1024
+#: A bucket of more texts, or with more shingles in their sets, is compared in blocks of about so many.
+BLOCK, BLOCK_HASHES = 1024, 4_000_000
 _SEED = np.arange(1, N_HASHES + 1, dtype=np.uint64)
 MULTIPLY, ADD = mix(_SEED * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1), mix(_SEED * np.uint64(0xD1B54A32D192ED03))
 
@@ -87,76 +87,131 @@ def _sets(words_each: int):
 
 
 def _meeting(sig: np.ndarray, n: np.ndarray, rows: slice, i: int, percent: int) -> np.ndarray:
-    """Which texts each of ``rows`` meets: both collections agree, bucket ``i`` is the first in common, sizes allow it."""
+    """In how many values each of ``rows`` agrees with each text it meets, and 0 for others: both collections agree,
+    bucket ``i`` is the first in common, sizes allow it."""
     same = sig[rows, None, :] == sig[None, :, :]
     pairs = same[:, :, 0::2] & same[:, :, 1::2]
     met = (pairs[:, :, :KEYS].argmax(2) == i) & pairs[:, :, i] & pairs[:, :, KEYS:].any(2)
-    met &= same.sum(2) >= LEAST_AGREEING
+    agree = same.sum(2, dtype=np.uint8)
+    met &= agree >= LEAST_AGREEING
     small, large = np.minimum(n[rows, None], n[None, :]), np.maximum(n[rows, None], n[None, :])
-    return met & (100 * small >= percent * large)
+    return np.where(met & (100 * small >= percent * large), agree, np.uint8(0))
+
+
+def _groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[list[tuple]]:
+    """The rows of each bucket block, sorted as they come: (i, x, y, key, n, sig, label, block, a, ...)."""
+    rows: list[tuple] = []
+    group = None
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+            if (row[0], row[8], row[1], row[2]) != group:
+                if len(rows) > 1:
+                    yield rows
+                group, rows = (row[0], row[8], row[1], row[2]), []
+            rows.append(row)
+    if len(rows) > 1:
+        yield rows
+
+
+BLOCK_ROW = ("i", "x", "y", "key", "n", "sig", "label", "block", "a")
+BLOCK_DDL = "i int, x int, y int, key binary, n long, sig binary, label binary, block int, a binary"
+BLOCK_SCHEMA = pa.schema([(c, pa.int64() if c == "n" else pa.binary() if c in ("key", "sig", "label", "a") else pa.int32()) for c in BLOCK_ROW])
+
+
+def _apart(rows: list[tuple], percent: int) -> np.ndarray | None:
+    """Agreement of each two texts of a block that may be linked and have different labels, 0 for others."""
+    label = np.unique([r[6] for r in rows], return_inverse=True)[1].reshape(-1)
+    if label.max() == 0:
+        return None
+    n, block = np.array([r[4] for r in rows]), np.array([r[7] for r in rows])
+    sig = np.frombuffer(b"".join(r[5] for r in rows), np.uint32).reshape(len(rows), -1)
+    m, step, cross = len(rows), max(1, 4_000_000 // (len(rows) * N_HASHES)), rows[0][1] != rows[0][2]
+    near = np.zeros((m, m), np.uint8)
+    for s in range(0, m, step):
+        part = slice(s, min(m, s + step))
+        got = _meeting(sig, n, part, rows[0][0], percent)
+        got[label[part, None] == label[None, :]] = 0
+        if cross:
+            got[block[part, None] == block[None, :]] = 0
+        near[part] = got
+    return near
+
+
+def _forest(percent: int):
+    """A spanning forest of each block's candidates, rooted at the most central texts (largest sum of agreeing values),
+    which are the likeliest originals of a group of near copies."""
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, BLOCK_ROW):
+            near = _apart(rows, percent)
+            if near is None:
+                continue
+            out, left = [], np.ones(len(rows), bool)
+            central = near.sum(1, dtype=np.int64)
+            for root in np.argsort(-central, kind="stable"):
+                if not central[root]:
+                    break
+                if not left[root]:
+                    continue
+                left[root] = False
+                todo = [root]
+                while todo:
+                    a = todo.pop()
+                    fresh = np.flatnonzero((near[a] > 0) & left)
+                    left[fresh] = False
+                    out += [(rows[a][3], rows[b][3]) for b in fresh]
+                    todo += fresh[np.argsort(central[fresh])].tolist()
+            if out:
+                yield _two(out, schema)
+
+    return run
+
 
+def _undecided(percent: int):
+    """The texts of each block that may be linked to one with another label."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, BLOCK_ROW):
+            near = _apart(rows, percent)
+            if near is not None and near.any():
+                some = [r for r, any_ in zip(rows, near.any(1), strict=True) if any_]
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*some, strict=True), BLOCK_SCHEMA, strict=True)], schema=BLOCK_SCHEMA)
+
+    return run
 
-def _pairs(percent: int, every: bool):
-    """Candidate pairs of each bucket block.
 
-    Texts with one label are known to be connected. A first pass proposes a spanning forest of the candidates, rooted at
-    the best connected texts; the pass with ``every`` proposes all pairs of texts that are still apart.
+def _settled(percent: int):
+    """Links among a block's undecided texts, each candidate compared on full sets unless already connected by others.
+
+    Pairs stay in the task: only a forest of confirmed links leaves it.
     """
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
-    def solve(rows: list[tuple]) -> list[tuple[bytes, bytes]]:
-        i = rows[0][0]
-        label = np.unique([r[6] for r in rows], return_inverse=True)[1].reshape(-1)
-        if label.max() == 0:
-            return []
-        keys, n, block = [r[3] for r in rows], np.array([r[4] for r in rows]), np.array([r[7] for r in rows])
-        sig = np.frombuffer(b"".join(r[5] for r in rows), np.uint32).reshape(len(rows), -1)
-        cross = rows[0][1] != rows[0][2]
-        m, step = len(rows), max(1, 4_000_000 // (len(rows) * N_HASHES))
-        near = np.zeros((m, m), bool)
-        for s in range(0, m, step):
-            part = slice(s, min(m, s + step))
-            got = _meeting(sig, n, part, i, percent) & (label[part, None] != label[None, :])
-            if cross:
-                got &= block[part, None] != block[None, :]
-            near[part] = got
-        if every:
-            x, y = np.nonzero(np.triu(near, 1))
-            return [(keys[a], keys[b]) for a, b in zip(x, y, strict=True)]
-        out, left = [], np.ones(m, bool)
-        degree = near.sum(1)
-        for root in np.argsort(-degree, kind="stable"):
-            if not degree[root]:
-                break
-            if not left[root]:
-                continue
-            left[root] = False
-            todo = [root]
-            while todo:
-                a = todo.pop()
-                fresh = np.flatnonzero(near[a] & left)
-                left[fresh] = False
-                out += [(keys[a], keys[b]) for b in fresh]
-                todo += fresh.tolist()
-        return out
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        group, found = None, []
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("i", "x", "y", "key", "n", "sig", "label", "block", "a")), strict=True):
-                if (row[0], row[8], row[1], row[2]) != group:
-                    if len(rows) > 1:
-                        found += solve(rows)
-                    group, rows = (row[0], row[8], row[1], row[2]), []
-                rows.append(row)
-            if found:
-                yield _two(found, schema)
-                found = []
-        if len(rows) > 1:
-            found += solve(rows)
-        if found:
-            yield _two(found, schema)
+        for rows in _groups(batches, (*BLOCK_ROW, "hashes")):
+            near = _apart(rows, percent)
+            if near is None:
+                continue
+            size = np.array([len(r[9]) // 8 for r in rows])
+            every, place = np.unique(np.frombuffer(b"".join(r[9] for r in rows), np.uint64), return_inverse=True)
+            ends = np.cumsum(size)
+            where = [place[e - s : e] for s, e in zip(size, ends, strict=True)]
+            tree = np.unique([r[6] for r in rows], return_inverse=True)[1].reshape(-1)
+            mark, out = np.zeros(len(every), bool), []
+            for a in range(len(rows) - 1):
+                b = a + 1 + np.flatnonzero((near[a, a + 1 :] > 0) & (tree[a + 1 :] != tree[a]))
+                if not len(b):
+                    continue
+                mark[where[a]] = True
+                both = np.add.reduceat(mark[np.concatenate([where[k] for k in b])], np.r_[0, np.cumsum(size[b])[:-1]], dtype=np.int64)
+                mark[where[a]] = False
+                for k in b[100 * both >= percent * (size[a] + size[b] - both)]:
+                    if tree[k] != tree[a]:
+                        out.append((rows[a][3], rows[k][3]))
+                        tree[tree == tree[k]] = tree[a]
+            if out:
+                yield _two(out, schema)
 
     return run
 
@@ -187,9 +242,9 @@ def labelled(docs: DataFrame, words_each: int, percent: int, id_col: str, text_c
     Links documents whose shingle sets have a Jaccard similarity of ``percent`` or more and labels the components.
 
     Texts with equal sets are one class and are handled once. Buckets propose a spanning forest of candidates, which is
-    confirmed on full sets; components that this joins need no further comparison; all candidates that are still apart
-    are then proposed and confirmed too, so no confirmed link between different texts is lost. Large buckets are
-    compared in blocks of texts, a task for each pair of blocks.
+    confirmed on full sets; components that this joins need no further comparison; candidates that are still apart are
+    compared on full sets inside their bucket, so no link between different texts is lost and no list of pairs is made. A bucket larger than a block is first confirmed against one of its texts, and if that doesn't join
+    it, compared in blocks of texts, a task for each pair of blocks.
 
     ``key`` is null for texts without words; ``root`` names the component, ``component`` is its least id.
     """
@@ -202,27 +257,55 @@ def labelled(docs: DataFrame, words_each: int, percent: int, id_col: str, text_c
 
     size = 4 * WIDTH
     firsts = F.array(*[F.struct(F.lit(i).alias("i"), F.substring("sig", i * size + 1, size).alias("a")) for i in range(KEYS)])
-    dealt = nodes.select("key", F.explode(firsts).alias("f")).select("key", "f.i", "f.a")
-    shared = dealt.groupBy("i", "a").count().where("count > 1")
+    dealt = nodes.select("key", "n", F.explode(firsts).alias("f")).select("key", "n", "f.i", "f.a")
+    shared = dealt.groupBy("i", "a").agg(F.count("*").alias("count"), F.sum("n").alias("hashes")).where("count > 1")
     blocks = F.ceil(F.col("count") / BLOCK).cast("int")
-    met = dealt.join(shared, ["i", "a"]).select("key", "i", "a", blocks.alias("blocks"))
+    links, label = None, None
+
+    def sets_of(keys: DataFrame) -> DataFrame:
+        wanted = keys.distinct().join(nodes.select("key", "least"), "key")
+        return staged(d.join(wanted, d["doc_id"].eqNullSafe(wanted["least"])).select("key", "text").mapInArrow(_sets(words_each), "key binary, hashes binary").dropDuplicates(["key"]), "minhash-sets")
+
+    def add(sure: DataFrame) -> None:
+        nonlocal links, label
+        links = sure if links is None else links.unionByName(sure)
+        label = components(links)
+
+    def confirm(pairs: DataFrame) -> None:
+        sets = sets_of(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))))
+        sides = pairs.join(sets.select(F.col("key").alias("a"), F.col("hashes").alias("sa")), "a").join(sets.select(F.col("key").alias("b"), F.col("hashes").alias("sb")), "b")
+        add(staged(sides.mapInArrow(_confirmed(percent), "a binary, b binary"), "minhash-links"))
+
+    def labels(rows: DataFrame) -> DataFrame:
+        if label is None:
+            return rows.withColumn("label", F.col("key"))
+        return rows.join(label, F.col("key") == F.col("node"), "left").withColumn("label", F.coalesce("root", "key")).drop("node", "root")
+
+    large = shared.where(F.col("count") > BLOCK).select("i", "a")
+    if large.head(1):
+        in_large = dealt.join(large, ["i", "a"])
+        leaders = in_large.groupBy("i", "a").agg(F.min("key").alias("leader"))
+        led = in_large.join(leaders, ["i", "a"]).where("key <> leader").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
+        confirm(staged(led, "minhash-led"))
+        apart = labels(in_large).groupBy("i", "a").agg(F.min("label") != F.max("label")).toDF("i", "a", "apart")
+        shared = shared.join(apart, ["i", "a"], "left").where(F.coalesce("apart", F.lit(True))).drop("apart")
+
+    blocks = F.ceil(F.greatest(F.col("count") / BLOCK, F.col("hashes") / BLOCK_HASHES)).cast("int")
+    met = dealt.drop("n").join(shared, ["i", "a"]).select("key", "i", "a", blocks.alias("blocks"))
     met = met.join(nodes.select("key", "n", "sig"), "key").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = staged(met.select("key", "n", "sig", "i", "a", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")), "minhash-buckets")
 
-    links, label = None, None
-    for every in (False, True):
-        rows = met.withColumn("label", F.col("key")) if label is None else met.join(label, F.col("key") == F.col("node"), "left").select("key", "n", "sig", "i", "a", "block", "x", "y", F.coalesce("root", "key").alias("label"))
-        grouped = rows.repartition(n_parts, "i", "a", "x", "y").sortWithinPartitions("i", "a", "x", "y", "key")
-        pairs = staged(grouped.mapInArrow(_pairs(percent, every), "a binary, b binary").distinct(), "minhash-pairs")
-        if not pairs.head(1):
-            break
-        wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct().join(nodes.select("key", "least"), "key")
-        sets = staged(d.join(wanted, d["doc_id"].eqNullSafe(wanted["least"])).select("key", "text").mapInArrow(_sets(words_each), "key binary, hashes binary").dropDuplicates(["key"]), "minhash-sets")
-        sides = pairs.join(sets.select(F.col("key").alias("a"), F.col("hashes").alias("sa")), "a").join(sets.select(F.col("key").alias("b"), F.col("hashes").alias("sb")), "b")
-        sure = staged(sides.mapInArrow(_confirmed(percent), "a binary, b binary"), "minhash-links")
-        links = sure if links is None else links.unionByName(sure)
-        label = components(links)
+    def by_block(rows: DataFrame) -> DataFrame:
+        return rows.repartition(n_parts, "i", "a", "x", "y").sortWithinPartitions("i", "a", "x", "y", "key")
+
+    pairs = staged(by_block(labels(met)).mapInArrow(_forest(percent), "a binary, b binary").distinct(), "minhash-forest")
+    if pairs.head(1):
+        confirm(pairs)
+        open_ = staged(by_block(labels(met).select(*BLOCK_ROW)).mapInArrow(_undecided(percent), BLOCK_DDL), "minhash-undecided")
+        if open_.head(1):
+            full = open_.join(sets_of(open_.select("key")), "key")
+            add(staged(by_block(full).mapInArrow(_settled(percent), "a binary, b binary"), "minhash-settled"))
 
     if label is None:
         groups = nodes.select("key", F.col("key").alias("root"), F.col("least").alias("component"))
