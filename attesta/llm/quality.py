@@ -26,50 +26,59 @@ CLASS_DISTANCE, CLASS_DISTANCE_WORDS, MAX_COMMON_DISTANCE = 0.11, 8.0, 0.36
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, f"[{WORD_SPACES}]+"), lambda w: w != "")
+    bare = F.btrim(text, F.lit(" \t\n\x0b\f\r"))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, f"[{WORD_SPACES}]+"))
 
 
-def base_counts(text: Column, words: Column) -> dict[str, Column]:
-    """Row-local counts; ``words`` is a column that holds ``words_of(text)``."""
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{WORD_SPACES}]"))
-    return {
-        "n_words": F.size(words).cast("long"),
-        "word_chars": F.length(F.translate(text, " \t\n\x0b\f\r", "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-    }
+#: Bits of a packed window that hold its position; longer texts are compared by their full hashes at once.
+POSITION_BITS = 24
 
 
-def repeated_words(sorted_grams: Column) -> Column:
-    """Words under 3-word windows found twice or more, from an array of (window hash, position) sorted by both."""
-    twice = F.filter(sorted_grams, lambda x, i: (x["h"] == F.get(sorted_grams, i - 1)["h"]) | (x["h"] == F.get(sorted_grams, i + 1)["h"]))
-    return F.size(F.array_distinct(F.flatten(F.transform(twice, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))))).cast("long")
+def repeated_windows(words: Column) -> Column:
+    """Positions (from 0) of the 3-word windows that occur twice or more in the text.
+
+    Hash and position are packed into one long, so that a primitive sort brings equal windows together; only those next
+    to one that looks equal are compared by full hashes.
+    """
+    n = F.greatest(F.size(words) - 2, F.lit(0))
+    full = lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
+    here = (1 << POSITION_BITS) - 1
+    packed = F.transform(F.slice(words, F.lit(1), n), lambda x, i: F.xxhash64(x, F.get(words, i + 1), F.get(words, i + 2)).bitwiseAND(F.lit(~here)).bitwiseOR(i))
+    ordered = F.sort_array(packed)
+
+    def alike(xs: Column) -> Column:
+        same = lambda x, y: x.bitwiseXOR(y).bitwiseAND(F.lit(~here)) == 0
+        return F.filter(xs, lambda x, k: F.coalesce(same(x, F.get(xs, k - 1)), F.lit(False)) | F.coalesce(same(x, F.get(xs, k + 1)), F.lit(False)))
+
+    near = F.get(F.transform(F.array(ordered), alike), F.lit(0))
+    at = F.when(n < here, F.transform(near, lambda x: x.bitwiseAND(F.lit(here)).cast("int"))).when(n > 0, F.sequence(F.lit(0), n - 1))
+    exact = F.sort_array(F.transform(at, lambda i: F.struct(full(i).alias("h"), i.alias("i"))))
+    twice = lambda xs: F.filter(xs, lambda x, k: F.coalesce(x["h"] == F.get(xs, k - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get(xs, k + 1)["h"], F.lit(False)))
+    return F.transform(F.get(F.transform(F.array(exact), twice), F.lit(0)), lambda x: x["i"])
 
 
 def features(docs: DataFrame, id_col: str, text_col: str, lang_col: str, text_hash: bool = False) -> DataFrame:
     """One narrow row for each document: base counts and the two histograms, without leaving the row."""
     d = pick(docs, doc_id=id_col, text=text_col, lang=lang_col).withColumn("text", F.coalesce("text", F.lit("")))
-    d = d.withColumn("words", words_of(F.col("text")))
     extra = [F.xxhash64("text").alias("text_hash")] if text_hash else []
-    w = F.col("words")
-    near = lambda x, i: F.struct(F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i"))
-    d = d.withColumn("grams", F.slice(F.transform("words", near), 1, F.greatest(F.size("words") - 2, F.lit(0))))
-    distinct = F.size(F.array_distinct(F.transform("grams", lambda g: g["h"]))) == F.size("grams")
-    d = d.withColumn("sorted", F.when(distinct, F.slice("grams", 1, 0)).otherwise(F.sort_array("grams")))
-    d = d.withColumn("common", F.filter(F.transform("words", lambda x: F.lower(x)), lambda x: x.isin(*COMMON_WORDS)))
-    t = F.col("text")
-    base = base_counts(t, w)
-    classes = {
-        "upper": F.regexp_count(t, F.lit(r"\p{Lu}")),
-        "digit": F.regexp_count(t, F.lit(r"[0-9]")),
-        "stop": F.regexp_count(t, F.lit(r"[.,;:]")),
-        "mark": F.regexp_count(t, F.lit(r"[!?'\"()\[\]{}/\\=_+@~^-]")),
-        "lower": F.length(t) - F.length(F.regexp_replace(t, r"\p{Ll}+", "")),
-    }
-    d = d.select("doc_id", "lang", *[c.alias(n) for n, c in base.items()], F.length(t).alias("n_chars"), repeated_words(F.col("sorted")).alias("n_repeat_words"), "common", *extra, *[c.alias(n) for n, c in classes.items()])
-    known = F.col("upper") + F.col("digit") + F.col("stop") + F.col("mark") + F.col("lower")
-    d = d.withColumn("space", F.col("n_chars") - F.col("word_chars")).withColumn("symbol", F.col("n_symbols")).withColumn("other", F.col("n_chars") - known - F.col("n_chars") + F.col("word_chars") - F.col("n_symbols"))
-    hist = F.array(*[(F.size("common") - F.size(F.array_remove("common", x))).cast("long") for x in COMMON_WORDS], (F.col("n_words") - F.size("common")).cast("long"))
+    t, w = F.col("text"), F.col("words")
+    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{WORD_SPACES}]"))
+    d = d.withColumn("words", words_of(t)).withColumn("rest", F.regexp_replace(t, rf"[\p{{Ll}}{WORD_SPACES}]++", "")).withColumn("lines", lines)
+    d = d.withColumn("twice", repeated_windows(w))
+    d = d.withColumn("common", F.filter(F.transform(w, F.lower), lambda x: x.isin(*COMMON_WORDS)))
+    covered = F.array_distinct(F.flatten(F.transform("twice", lambda i: F.array(i, i + 1, i + 2))))
+    d = d.select(
+        "doc_id", "lang", *extra, F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), F.length(t).cast("long").alias("n_chars"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.size(covered).cast("long").alias("n_repeat_words"), "rest",
+        F.concat(F.lit(" "), F.array_join("common", "  "), F.lit(" ")).alias("common"), F.size("common").cast("long").alias("n_common"),
+    )
+    r = F.col("rest")  # what is neither a lower-case letter nor white space: short, so counting over it is cheap
+    d = d.withColumn("upper", F.regexp_count(r, F.lit(r"\p{Lu}"))).withColumn("digit", F.regexp_count(r, F.lit("[0-9]"))).withColumn("stop", F.regexp_count(r, F.lit("[.,;:]")))
+    d = d.withColumn("mark", F.regexp_count(r, F.lit(r"[!?'\"()\[\]{}/\\=_+@~^-]"))).withColumn("n_symbols", F.regexp_count(r, F.lit(f"[{SYMBOLS}]")).cast("long"))
+    d = d.withColumn("lower", F.col("word_chars") - F.length(r)).withColumn("space", F.col("n_chars") - F.col("word_chars")).withColumn("symbol", F.col("n_symbols"))
+    d = d.withColumn("other", F.length(r) - F.col("upper") - F.col("digit") - F.col("stop") - F.col("mark") - F.col("symbol"))
+    times = lambda x: ((F.octet_length("common") - F.octet_length(F.replace("common", F.lit(f" {x} "), F.lit("")))) / (len(x.encode()) + 2)).cast("long")
+    hist = F.array(*[times(x) for x in COMMON_WORDS], F.col("n_words") - F.col("n_common"))
     return d.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.array(*[F.col(c).cast("long") for c in CLASSES]).alias("classes"), hist.alias("common"), *(["text_hash"] if text_hash else []))
 
 
