@@ -209,7 +209,9 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", samp
     The documents are those of lowest id hash, and at most ``sample_paragraphs`` of their paragraphs are taken; those
     that resemble a notice are left out. A fifth of all examples sets the temperature that calibrates probabilities.
     """
-    sample = pick(docs, doc_id=id_col, text=text_col).where("text is not null").orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(sample_rows)
+    d = pick(docs, doc_id=id_col, text=text_col).where("text is not null").withColumn("a", F.xxhash64("doc_id")).withColumn("b", F.xxhash64("text"))
+    chosen = d.select("a", "b").distinct().orderBy("a", "b").limit(sample_rows)  # hashes first, so that tasks send no texts
+    sample = d.join(F.broadcast(chosen), ["a", "b"]).dropDuplicates(["a", "b"]).orderBy("a", "b")  # sample_rows pairs
     texts = [bytes(r["text"], "utf-8") for r in sample.select("text").collect()]  # sample_rows texts
     templates = {f: [pair_set(u, k) for u in [units([t.encode() for t in ts])] for k in range(len(u.start))] for f, ts in notices().items()}
     other: list[str] = []
