@@ -1,0 +1 @@
+"""Spark claim-verification analytics: extraction, overlap scoring, verdicts, evaluation."""
