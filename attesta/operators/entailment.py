@@ -30,7 +30,6 @@ def model_scorer(load: Callable[[], Callable[[list[tuple[str, str]]], list[tuple
     """A scorer around a model: ``load()`` runs once in each Python worker and gives a function from (claim, premise)
     pairs to (entailment, contradiction). Pairs go in batches, the longest together."""
 
-    @F.pandas_udf(SCORES)
     def score(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         model = load()
         for claims, premises in columns:
@@ -44,7 +43,7 @@ def model_scorer(load: Callable[[], Callable[[list[tuple[str, str]]], list[tuple
             found = iter(got)
             yield pd.Series([[next(found) for _ in (ps if ps is not None else [])] for ps in premises])
 
-    return score
+    return F.pandas_udf(score, SCORES)
 
 
 def model_available(*modules: str) -> bool:

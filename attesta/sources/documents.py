@@ -131,7 +131,7 @@ def citations_from_json(documents: DataFrame, strict: bool = True) -> DataFrame:
     )
     if not strict:
         return rows
-    return rows.withColumn("claim", F.when(F.col("problem").isNotNull(), F.raise_error("problem")).otherwise(F.col("claim"))).drop("problem")
+    return rows.withColumn("claim", F.when(F.col("problem").isNotNull(), F.raise_error(F.col("problem"))).otherwise(F.col("claim"))).drop("problem")
 
 
 def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,21 +106,20 @@ def fetched(urls: DataFrame, get: Callable[[str], dict], per_task: int = 10) ->
     page.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from concurrent.futures import ThreadPoolExecutor
+    schema = pa.schema([("url", pa.string()), ("ok", pa.bool_()), ("status_code", pa.int32()), ("html", pa.string()), ("etag", pa.string()), ("error", pa.string())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def one(url: str) -> dict:
             try:
                 return {"url": url, "ok": True} | get(url)
-            except Exception as e:  # the page failed, not the job
+            except Exception as e:  # noqa: BLE001  the page failed, not the job
                 return {"url": url, "ok": False, "error": f"{type(e).__name__}: {e}"}
 
-        names = [c.split()[0] for c in PAGE.split(", ")]
         with ThreadPoolExecutor(per_task) as pool:
             for batch in batches:
-                yield pd.DataFrame(list(pool.map(one, batch["url"])), columns=names).astype({"status_code": "Int32"})
+                yield pa.RecordBatch.from_pylist([{f.name: r.get(f.name) for f in schema} for r in pool.map(one, batch.column("url").to_pylist())], schema=schema)
 
     wanted = urls.select("url").distinct()
-    good = wanted.where(fetchable(F.col("url")).isNull()).mapInPandas(run, PAGE)
+    good = wanted.where(fetchable(F.col("url")).isNull()).mapInArrow(run, PAGE)
     bad = wanted.where(fetchable(F.col("url")).isNotNull()).select("url", F.lit(False).alias("ok"), F.lit(None).cast("int").alias("status_code"), F.lit(None).cast("string").alias("html"), F.lit(None).cast("string").alias("etag"), fetchable(F.col("url")).alias("error"))
     return good.unionByName(bad)
