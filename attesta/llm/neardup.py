@@ -24,6 +24,8 @@ from attesta.llm.components import components
 KEYS, WIDTH = 16, 2
 N_HASHES = 2 * KEYS * WIDTH
 LEAST_AGREEING = 33
+#: A bucket of more texts is confirmed against one of them first.
+LED = 16 * 1024
 #: A bucket of more texts, or with more shingles in their sets, is compared in blocks of about so many.
 BLOCK, BLOCK_HASHES = 1024, 4_000_000
 _SEED = np.arange(1, N_HASHES + 1, dtype=np.uint64)
@@ -243,7 +245,7 @@ def labelled(docs: DataFrame, words_each: int, percent: int, id_col: str, text_c
 
     Texts with equal sets are one class and are handled once. Buckets propose a spanning forest of candidates, which is
     confirmed on full sets; components that this joins need no further comparison; candidates that are still apart are
-    compared on full sets inside their bucket, so no link between different texts is lost and no list of pairs is made. A bucket larger than a block is first confirmed against one of its texts, and if that doesn't join
+    compared on full sets inside their bucket, so no link between different texts is lost and no list of pairs is made. A very large bucket is first confirmed against one of its texts, and if that doesn't join
     it, compared in blocks of texts, a task for each pair of blocks.
 
     ``key`` is null for texts without words; ``root`` names the component, ``component`` is its least id.
@@ -259,6 +261,37 @@ def labelled(docs: DataFrame, words_each: int, percent: int, id_col: str, text_c
     firsts = F.array(*[F.struct(F.lit(i).alias("i"), F.substring("sig", i * size + 1, size).alias("a")) for i in range(KEYS)])
     dealt = nodes.select("key", "n", F.explode(firsts).alias("f")).select("key", "n", "f.i", "f.a")
     shared = dealt.groupBy("i", "a").agg(F.count("*").alias("count"), F.sum("n").alias("hashes")).where("count > 1")
+    bucketed = staged(dealt.drop("n").join(shared, ["i", "a"]), "minhash-shared")
+    blocks = F.ceil(F.col("count") / BLOCK).cast("int")
+    links, label = None, None
+
+    def sets_of(keys: DataFrame) -> DataFrame:
+        wanted = keys.distinct().join(nodes.select("key", "least"), "key")
+        return staged(d.join(wanted, d["doc_id"].eqNullSafe(wanted["least"])).select("key", "text").mapInArrow(_sets(words_each), "key binary, hashes binary").dropDuplicates(["key"]), "minhash-sets")
+
+    def add(sure: DataFrame) -> None:
+        nonlocal links, label
+        links = sure if links is None else links.unionByName(sure)
+        label = components(links)
+
+    def confirm(pairs: DataFrame) -> None:
+        sets = sets_of(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))))
+        sides = pairs.join(sets.select(F.col("key").alias("a"), F.col("hashes").alias("sa")), "a").join(sets.select(F.col("key").alias("b"), F.col("hashes").alias("sb")), "b")
+        add(staged(sides.mapInArrow(_confirmed(percent), "a binary, b binary"), "minhash-links"))
+
+    def labels(rows: DataFrame) -> DataFrame:
+        if label is None:
+            return rows.withColumn("label", F.col("key"))
+        return rows.join(label, F.col("key") == F.col("node"), "left").withColumn("label", F.coalesce("root", "key")).drop("node", "root")
+
+    large = bucketed.where(F.col("count") > LED)
+    if large.head(1):
+        leaders = large.groupBy("i", "a").agg(F.min("key").alias("leader"))
+        led = large.join(leaders, ["i", "a"]).where("key <> leader").groupBy("key").agg(F.min("leader").alias("leader"))
+        confirm(staged(led.select(F.col("leader").alias("a"), F.col("key").alias("b")), "minhash-led"))
+        joined = labels(large).groupBy("i", "a").agg((F.min("label") == F.max("label")).alias("joined")).where("joined")
+        bucketed = bucketed.join(joined, ["i", "a"], "left_anti")
+
     blocks = F.ceil(F.col("count") / BLOCK).cast("int")
     links, label = None, None
 
@@ -291,7 +324,7 @@ def labelled(docs: DataFrame, words_each: int, percent: int, id_col: str, text_c
         shared = shared.join(apart, ["i", "a"], "left").where(F.coalesce("apart", F.lit(True))).drop("apart")
 
     blocks = F.ceil(F.greatest(F.col("count") / BLOCK, F.col("hashes") / BLOCK_HASHES)).cast("int")
-    met = dealt.drop("n").join(shared, ["i", "a"]).select("key", "i", "a", blocks.alias("blocks"))
+    met = bucketed.select("key", "i", "a", blocks.alias("blocks"))
     met = met.join(nodes.select("key", "n", "sig"), "key").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = staged(met.select("key", "n", "sig", "i", "a", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")), "minhash-buckets")

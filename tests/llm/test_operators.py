@@ -106,8 +106,10 @@ def test_near_duplicates(docs, none, k):
     assert neardup.near_duplicates(none, k, 80).count() == 0
 
 
-def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("led", [10, 1000])
+def test_large_buckets_are_compared_in_blocks(spark, monkeypatch, led):
     monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(neardup, "LED", led)
     base = prose(60).split()
     rows = []
     for i in range(60):
