@@ -32,11 +32,40 @@ class ToxicModel:
     k: float
     slope: float
     intercept: float
+    starts: frozenset[str] = frozenset()
 
 
-def segments(tokens: list[str], lexicon: dict[str, float], drift: float) -> list[tuple[int, int, float]]:
+#: A word that the lexicon lacks takes the score of its longest known beginning of so many letters.
+STEMS = (7, 6, 5, 4)
+MARK = "~"
+
+
+def stems_of(token: str) -> list[str]:
+    """Beginnings of a longer word, marked so that they aren't words."""
+    return [token[:k] + MARK for k in STEMS if len(token) > k]
+
+
+def known_starts(lexicon: dict[str, float]) -> frozenset[str]:
+    """The first letters of the beginnings that the lexicon holds: most words need no further look."""
+    return frozenset(s[: STEMS[-1]] for s in lexicon if s[-1:] == MARK)
+
+
+def scored_tokens(tokens: list[str], lexicon: dict[str, float], starts: frozenset[str]) -> list[tuple[int, float]]:
+    """(place, score) of the tokens that the lexicon knows, by themselves or by a beginning."""
+    least, out = STEMS[-1], []
+    for i, t in enumerate(tokens):
+        if t in lexicon:
+            out.append((i, lexicon[t]))
+        elif t[:least] in starts:
+            found = next((lexicon[s] for s in stems_of(t) if s in lexicon), None)
+            if found is not None:
+                out.append((i, found))
+    return out
+
+
+def segments(tokens: list[str], lexicon: dict[str, float], drift: float, starts: frozenset[str] = frozenset()) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments (start, end, score) of a token sequence, in one pass over its scored tokens."""
-    hits = [(i, lexicon[t]) for i, t in enumerate(tokens) if t in lexicon]
+    hits = scored_tokens(tokens, lexicon, starts)
     out: list[list] = []  # start, end, total before, total after
     total, seen = 0.0, 0
     for i, s in hits:
@@ -78,7 +107,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
             found = tokens_of(text)
-            seen[toxic].update(set(found))
+            words = set(found)
+            seen[toxic].update(words | {s for w in words for s in stems_of(w)})
             seen[toxic][RUNNING] += len(found)
         for toxic, c in seen.items():
             c[DOCUMENTS] = sum(toxic == x for x in batch.column("toxic").to_pylist())
@@ -91,7 +121,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
     Two thirds of them give token log-odds of document frequencies (a word repeated in one text counts once) under a
     Dirichlet prior (``prior`` pseudo-documents spread as the sample spreads them, plus a flat share); tokens whose
-    likelihood ratio G2 is at least ``g2``, at most ``lexicon_size``, form the lexicon. The last third
+    likelihood ratio G2 is at least ``g2``, at most ``lexicon_size``, form the lexicon; beginnings of words are tokens too,
+    for words that it lacks. The last third
     calibrates the document statistic by logistic regression. Labels that repeat an id count as toxic if any is; null
     labels or ids are skipped. Without both classes the model gives every text the base rate.
     """
@@ -115,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         lexicon = {r["token"]: float(r["delta"]) - drift for r in best}
         background = [(lexicon[r["token"]], (r["o"] + 0.5) / (running + 1)) for r in best]
         lam, k = _karlin(background, drift)
-    model = ToxicModel(lexicon, drift, lam, k, 0.0, 0.0)
+    model = ToxicModel(lexicon, drift, lam, k, 0.0, 0.0, known_starts(lexicon))
     held = rows.where("fold = 2").select("text", "toxic").mapInArrow(_statistics(model, e_value), "x double, toxic int").groupBy("x", "toxic").count().collect()  # one row for each sampled document at most
     model.slope, model.intercept = _logistic([(r["x"], r["toxic"], r["count"]) for r in held])
     return model
@@ -142,7 +173,7 @@ def _statistics(model: ToxicModel, e_value: float):
             xs = []
             for text in batch.column("text").to_pylist():
                 t = tokens_of(text)
-                xs.append(statistic(segments(t, model.lexicon, model.drift), len(t), model, e_value)[0])
+                xs.append(statistic(segments(t, model.lexicon, model.drift, model.starts), len(t), model, e_value)[0])
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.float64()), batch.column("toxic").cast(pa.int32())], names=["x", "toxic"])
 
     return run
@@ -181,7 +212,7 @@ def score(docs: DataFrame, model: ToxicModel, *, id_col: str = "doc_id", text_co
             scores, passages = [], []
             for text in batch.column("text").to_pylist():
                 t = tokens_of(text)
-                x, kept = statistic(segments(t, model.lexicon, model.drift), len(t), model, e_value)
+                x, kept = statistic(segments(t, model.lexicon, model.drift, model.starts), len(t), model, e_value)
                 scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, model.slope * math.log1p(max(x, 0)) + model.intercept)))))
                 passages.append([{"start": a, "end": b, "score": s, "bits": bits} for a, b, s, bits in kept])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(passages, kind)], names=["doc_id", "score", "passages"])
