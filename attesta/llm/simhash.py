@@ -95,7 +95,8 @@ def edited_likeness(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     as one when "next" is found and come out once for each. Null texts are empty. One document follows itself.
     """
     rows = _rows(docs, id_col, text_col)
-    texts = rows.groupBy("rk").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("copies"))
+    texts = rows.groupBy("rk").agg(F.first(F.struct("doc_id", "text")).alias("d"), F.count("*").alias("copies")).where("copies > 0").select("rk", "d.doc_id", "d.text", "copies")
+    # both joins below read all of these columns up to the shuffle, so that Spark shuffles the texts once
     keys = rows.groupBy("rk").agg(F.first("doc_id").alias("doc_id"), F.max(F.floor(F.length("text") / 4)).cast("int").alias("k"))
     order = successors(keys.select("doc_id", "rk"))
     asks = order.join(keys.select("rk", "k"), "rk")
