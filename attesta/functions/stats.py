@@ -64,7 +64,9 @@ def cluster_bootstrap(correct: list[int], sizes: list[int], confidence: float =
     if not sum(sizes):
         return 0.0, 0.0
     hits, cases = np.asarray(correct, np.int64), np.asarray(sizes, np.int64)
-    chosen = np.random.default_rng(seed).integers(0, len(hits), size=(resamples, len(hits)))
-    accuracy = hits[chosen].sum(axis=1) / cases[chosen].sum(axis=1)
+    rng, some, accuracy = np.random.default_rng(seed), max(1, 4_000_000 // len(hits)), np.empty(resamples)
+    for i in range(0, resamples, some):  # the same draws as all at once, in bounded memory
+        chosen = rng.integers(0, len(hits), size=(min(some, resamples - i), len(hits)))
+        accuracy[i : i + some] = hits[chosen].sum(axis=1) / cases[chosen].sum(axis=1)
     edge = (1 - confidence) / 2 * 100
     return float(np.percentile(accuracy, edge)), float(np.percentile(accuracy, 100 - edge))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attesta import constants as K
 from attesta.functions import text as T
+from attesta.sources.staging import frozen
 
 
 def authorable(sentence: Column) -> Column:
@@ -121,7 +122,8 @@ def with_ids(cases: DataFrame, prefix: str, *order: str) -> DataFrame:
     """Sequential ids in the given order. Numbers come from counts of range partitions, so no task sorts all rows."""
     spark = cases.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = cases.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
+    # frozen, as range bounds come from a sample and would differ between the two uses
+    ranged = frozen(cases.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
     inside = ranged.withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     sizes = ranged.groupBy("_part").count()
     before = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each partition

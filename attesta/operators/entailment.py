@@ -58,8 +58,8 @@ def premises(claim: Column, top: Column, text: Column, span: Column) -> Column:
 
 def best_scores(scores: Column) -> Column:
     """The scores of the premise with most entailment, the first on ties."""
-    top = lambda every: F.array_max(F.transform(every, lambda s, i: F.struct(s["ent"].alias("ent"), (-i).alias("back"))))
-    return T.let(scores, lambda every: F.get(every, -top(every)["back"]))
+    ents = scores["ent"]  # no lambdas here: a Python scorer's result can't pass through them
+    return F.get(scores, (F.array_position(ents, F.array_max(ents)) - 1).cast("int"))
 
 
 def pool(claim: Column, chosen: Column) -> Column:
@@ -69,7 +69,7 @@ def pool(claim: Column, chosen: Column) -> Column:
 
 def pooled_contradiction(scores: Column) -> Column:
     """The largest contradiction, 0 without sentences."""
-    return F.coalesce(F.greatest(F.array_max(F.transform(scores, lambda s: s["con"])), F.lit(0.0)), F.lit(0.0))
+    return F.coalesce(F.greatest(F.array_max(scores["con"]), F.lit(0.0)), F.lit(0.0))
 
 
 def combine_clauses(scores: Column) -> Column:

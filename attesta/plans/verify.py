@@ -62,7 +62,8 @@ def third_tier(rows: DataFrame, scorer: E.Scorer) -> DataFrame:
     none = F.array().cast("array<string>")
     d = d.withColumn("premises", F.when(F.col("eligible"), E.premises(F.col("clean"), top, F.col("target"), F.col("span"))).otherwise(none))
     d = d.withColumn("pool", E.pool(F.col("clean"), F.col("premises")))
-    d = d.withColumn("best", E.best_scores(scorer(F.col("clean"), F.col("premises")))).withColumn("pooled", E.pooled_contradiction(scorer(F.col("clean"), F.col("pool"))))
+    d = d.withColumn("scores", scorer(F.col("clean"), F.col("premises"))).withColumn("pool_scores", scorer(F.col("clean"), F.col("pool")))
+    d = d.withColumn("best", E.best_scores(F.col("scores"))).withColumn("pooled", E.pooled_contradiction(F.col("pool_scores")))
     after = E.applied(F.col("status"), F.col("notes"), F.col("best.ent"), F.col("located"), F.col("best.con"), F.col("pooled"))
     d = d.withColumn("after", F.when(F.col("eligible"), after))
     moved = {c: F.when(F.col("eligible"), F.col(f"after.{c}")).otherwise(F.col(c)) for c in ("status", "tier_reached", "score")}

@@ -13,7 +13,7 @@ os.environ.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[1]))
 def spark(tmp_path_factory):
     shared = tmp_path_factory.mktemp("shared")
     s = (
-        SparkSession.builder.master("local[4]")
+        SparkSession.builder.master(f"local[{os.environ.get('TEST_CPUS', '4')}]")
         .config("spark.driver.memory", "4g")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
