@@ -43,7 +43,8 @@ def model_scorer(load: Callable[[], Callable[[list[tuple[str, str]]], list[tuple
             found = iter(got)
             yield pd.Series([[next(found) for _ in (ps if ps is not None else [])] for ps in premises])
 
-    return F.pandas_udf(score, SCORES)
+    # so marked, the call keeps a projection of its own: it runs once and is never folded into what reads its scores
+    return F.pandas_udf(score, SCORES).asNondeterministic()
 
 
 def model_available(*modules: str) -> bool:
