@@ -156,8 +156,8 @@ class LicenseModel:
         at, place = self.hits(u)
         total = np.zeros((len(at) + 1, self.weights.shape[1]))
         np.cumsum(self.weights[place], axis=0, out=total[1:])
-        sums = total[np.searchsorted(at, u.end)] - total[np.searchsorted(at, u.start)]
-        return sums / np.sqrt(np.maximum(u.end - u.start, 8))[:, None] + self.intercepts
+        low, high = np.searchsorted(at, u.start), np.searchsorted(at, u.end)
+        return (total[high] - total[low]) / np.sqrt(np.maximum(high - low, 8))[:, None] + self.intercepts
 
     def probabilities(self, u: Units) -> np.ndarray:
         z = self.logits(u) / self.temperature
@@ -246,7 +246,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", samp
         g = np.array(grams, np.uint64)
         p = np.minimum(np.searchsorted(chosen, g), len(chosen) - 1)
         np.add.at(x[i], p[chosen[p] == g], 1)
-        x[i] /= math.sqrt(max(8, int(u.end[first[i]] - u.start[first[i]])))
+        x[i] /= math.sqrt(max(8.0, float(x[i].sum())))
     held = np.arange(len(label)) % 5 == 4
     w, b = _softmax_regression(x[~held], label[~held], len(CLASSES), ridge, rounds)
     return LicenseModel(chosen, w.astype(np.float64), b.astype(np.float64), _temperature(x[held] @ w + b, label[held]), templates)
