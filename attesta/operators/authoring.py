@@ -118,17 +118,22 @@ def authored(pages: DataFrame, *, id_col: str, url_col: str, text_col: str, per_
     return p.select("page_id", "url", F.posexplode("cases").alias("k", "c")).select("page_id", "k", "c.category", "c.expected_status", F.lit("high").alias("labeler_confidence"), "url", "c.claim")
 
 
-def with_ids(cases: DataFrame, prefix: str, *order: str) -> DataFrame:
-    """Sequential ids in the given order. Numbers come from counts of range partitions, so no task sorts all rows."""
-    spark = cases.sparkSession
+def numbered(rows: DataFrame, name: str, *order: str) -> DataFrame:
+    """``rows`` with their place in the given order, from 0. Numbers come from counts of range partitions, so no task sorts all rows."""
+    spark = rows.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # frozen, as range bounds come from a sample and would differ between the two uses
-    ranged = frozen(cases.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
+    ranged = frozen(rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
     inside = ranged.withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     sizes = ranged.groupBy("_part").count()
     before = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
     out = inside.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part")
-    return out.withColumn("id", F.format_string(f"{prefix}%03d", F.col("_before") + F.col("_k"))).drop("_part", "_k", "_before")
+    return out.withColumn(name, F.col("_before") + F.col("_k") - 1).drop("_part", "_k", "_before")
+
+
+def with_ids(cases: DataFrame, prefix: str, *order: str) -> DataFrame:
+    """Sequential ids in the given order, from 1."""
+    return numbered(cases, "_n", *order).withColumn("id", F.format_string(f"{prefix}%03d", F.col("_n") + 1)).drop("_n")
 
 
 def label_problems(cases: DataFrame, pages: DataFrame) -> DataFrame:

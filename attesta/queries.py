@@ -25,7 +25,6 @@ from attesta.sources import pages as S
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTERED: dict[str, Query] = {}
-N_CLAIMS = 40
 
 
 def query(f: Query) -> Query:
@@ -94,10 +93,17 @@ def evidence_clips(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.clipped(F.col("text")).alias("evidence"))
 
 
+def with_claims(rows: DataFrame, key: str, spark, sf) -> DataFrame:
+    """Each row beside the claim of the item whose place in the order of ids is ``key`` modulo the number of items."""
+    items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("claim"))
+    places = A.numbered(items.select("item_id").distinct(), "place", "item_id")
+    dealt = rows.crossJoin(F.broadcast(places.agg(F.count("*").alias("n_items")))).withColumn("place", F.pmod(F.col(key), F.nullif("n_items", F.lit(0))))  # one row
+    return dealt.drop("n_items").join(places, "place").drop("place").join(items, "item_id")
+
+
 def claims_of_documents(spark, sf) -> DataFrame:
-    """Each document beside the claim of item ``doc_id`` modulo the number of items."""
-    d = table(spark, sf, "documents").select("doc_id", "text", (F.col("doc_id") % N_CLAIMS).alias("item_id"))
-    return d.join(table(spark, sf, "benchmark").select("item_id", F.col("text").alias("claim")), "item_id")
+    """Each document beside the claim of an item, by its id."""
+    return with_claims(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", spark, sf)
 
 
 @query
@@ -336,11 +342,11 @@ def json_citations(spark, sf):
 def citations(spark, sf) -> DataFrame:
     """A citation of each page: an item's claim, the page's first passage, or an excerpt; one URL is unknown."""
     k = F.col("page_id") % 4
-    p = table(spark, sf, "pages").select("page_id", "url", (F.col("page_id") % N_CLAIMS).alias("item_id"), F.get(T.segment_passages(P.html_text(F.col("html"))), F.lit(0)).alias("own"))
-    d = p.join(table(spark, sf, "benchmark").select("item_id", "text"), "item_id")
+    p = table(spark, sf, "pages").select("page_id", "url", F.get(T.segment_passages(P.html_text(F.col("html"))), F.lit(0)).alias("own"))
+    d = with_claims(p, "page_id", spark, sf)
     return d.select(
         F.col("page_id").cast("string").alias("doc_id"), F.lit(0).alias("seq"), F.lit("c1").alias("citation_id"), F.when(F.col("page_id") % 50 == 1, F.lit("http://none/")).otherwise(F.regexp_replace("url", "^http", "HTTP")).alias("url"),
-        F.when(k == 0, F.col("text")).otherwise(F.col("own")).alias("claim"), F.lit(None).cast("string").alias("source_text"), F.when(k == 2, F.col("text")).alias("excerpt"),
+        F.when(k == 0, F.col("claim")).otherwise(F.col("own")).alias("claim"), F.lit(None).cast("string").alias("source_text"), F.when(k == 2, F.col("claim")).alias("excerpt"),
     )
 
 
