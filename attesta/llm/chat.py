@@ -36,11 +36,12 @@ def chatml(messages: list[Message]) -> str:
 class Incremental:
     """Renders successive prefixes of a conversation and finds each turn's span by comparing consecutive outputs.
 
-    Prefixes are whole up to ``window`` turns. Later ones hold the last ``window`` turns, once a comparison at that
-    point has shown that the template gives the same addition either way; else they stay whole.
+    Prefixes are whole. With ``window``, which is only for a template that adds to a turn the same whatever came more than
+    ``window`` turns before it (as ``chatml`` does), later ones hold the last ``window`` turns, unless a comparison at
+    the first such point contradicts that.
     """
 
-    def __init__(self, template: Template, window: int = 16):
+    def __init__(self, template: Template, window: int | None = None):
         self.template, self.window, self.frames = template, window, {}
         self.reset()
 
@@ -78,7 +79,7 @@ class Incremental:
                 break
         self.past.append((role, text))
         self.before = after
-        if len(self.past) > self.window and self.slides is not False:
+        if self.window is not None and len(self.past) > self.window and self.slides is not False:
             short = self.past[-self.window :]
             less = self.template(short[:-1])
             if self.slides is None:
@@ -101,11 +102,13 @@ def _in_order(conversations: DataFrame) -> DataFrame:
     return c.repartition(shuffle_partitions(conversations.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
 
-def render_turns(conversations: DataFrame, template: Template = chatml, *, loss_roles: tuple[str, ...] = ("assistant",), window: int = 16) -> DataFrame:
+def render_turns(conversations: DataFrame, template: Template = chatml, *, loss_roles: tuple[str, ...] = ("assistant",), window: int | None = None) -> DataFrame:
     """Each turn's addition to the formatted text, the content's place in it and whether it is under the loss mask.
 
-    Turns stream through a task in order, so memory doesn't depend on a conversation's length. A turn at which the
-    template rewrote history has null ``added``. An empty table gives no rows.
+    Turns stream through a task in order. Each prefix is rendered whole, so time grows with the square of a conversation's
+    length, unless ``window`` declares that the template needs no more than so many last turns (see ``Incremental``);
+    then memory doesn't depend on the length either. A turn at which the template rewrote history has null ``added``. An
+    empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,12 +127,13 @@ def render_turns(conversations: DataFrame, template: Template = chatml, *, loss_
     return _in_order(conversations).mapInArrow(run, "conv_id long, turn long, role string, added string, content_start int, content_end int, loss boolean")
 
 
-def format_digests(conversations: DataFrame, template: Template = chatml, *, loss_roles: tuple[str, ...] = ("assistant",), window: int = 16) -> DataFrame:
+def format_digests(conversations: DataFrame, template: Template = chatml, *, loss_roles: tuple[str, ...] = ("assistant",), window: int | None = None) -> DataFrame:
     """A row for each conversation, with digests read back from the formatted output.
 
     Roles and texts are parsed out of what each turn added and unescaped; the loss mask is the content span of the
     turns of ``loss_roles``. A null text or role is empty; a null conv_id is a conversation of its own. Where a
     template rewrites history, ``rewrites_history`` is true and the digests cover the turns that could be located.
+    ``window`` is as for ``render_turns``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

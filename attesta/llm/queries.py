@@ -58,7 +58,7 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    return chat.format_digests(turns.unionByName(extra))
+    return chat.format_digests(turns.unionByName(extra), window=16)  # chatml adds to each turn the same after any others
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

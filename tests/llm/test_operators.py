@@ -259,6 +259,16 @@ def test_chat_detects_rewritten_history(spark):
     assert [r["added"][r["content_start"] : r["content_end"]] for r in spans] == ["a", "b"] and [r["loss"] for r in spans] == [False, True]
 
 
+def test_chat_detects_rewriting_after_many_turns(spark):
+    last = lambda ms: chat.chatml(ms[-32:])
+    rows = spark.createDataFrame([(1, i, "assistant" if i % 2 else "user", f"turn {i}") for i in range(40)], TURNS)
+    assert chat.format_digests(rows, last).first()["rewrites_history"]
+    spans = chat.render_turns(rows, last).orderBy("turn").collect()
+    assert [r["added"] is None for r in spans] == [i >= 32 for i in range(40)]
+    whole = chat.render_turns(rows).orderBy("turn").collect()
+    assert whole == chat.render_turns(rows, window=16).orderBy("turn").collect() and all(r["added"] for r in whole)
+
+
 def test_licenses(spark, docs, none):
     planted = [(1000, f"{prose(30)}\nLicensed under the Apache License, Version 2.0.\n{prose(20)}", "apache-2.0"), (1001, "Released under the MIT License.", "mit"), (1002, f"{prose(200)} " + licenses.PASSAGES["bsd"][0] + f" {prose(100)}", "bsd"), (1003, "Published under CC BY-SA 4.0", "cc-by-sa")]
     clean = [(2000, "The driving licence was issued in June.", None), (2001, "Permission was given to walk free of charge in the park.", None), (2002, "Under the Heron Terms, version 9, anyone may look.", None)]
