@@ -262,7 +262,6 @@ def labelled(docs: DataFrame, words_each: int, percent: int, id_col: str, text_c
     dealt = nodes.select("key", "n", F.explode(firsts).alias("f")).select("key", "n", "f.i", "f.a")
     shared = dealt.groupBy("i", "a").agg(F.count("*").alias("count"), F.sum("n").alias("hashes")).where("count > 1")
     bucketed = staged(dealt.drop("n").join(shared, ["i", "a"]), "minhash-shared")
-    blocks = F.ceil(F.col("count") / BLOCK).cast("int")
     links, label = None, None
 
     def sets_of(keys: DataFrame) -> DataFrame:
@@ -292,37 +291,6 @@ def labelled(docs: DataFrame, words_each: int, percent: int, id_col: str, text_c
         joined = labels(large).groupBy("i", "a").agg((F.min("label") == F.max("label")).alias("joined")).where("joined")
         bucketed = bucketed.join(joined, ["i", "a"], "left_anti")
 
-    blocks = F.ceil(F.col("count") / BLOCK).cast("int")
-    links, label = None, None
-
-    def sets_of(keys: DataFrame) -> DataFrame:
-        wanted = keys.distinct().join(nodes.select("key", "least"), "key")
-        return staged(d.join(wanted, d["doc_id"].eqNullSafe(wanted["least"])).select("key", "text").mapInArrow(_sets(words_each), "key binary, hashes binary").dropDuplicates(["key"]), "minhash-sets")
-
-    def add(sure: DataFrame) -> None:
-        nonlocal links, label
-        links = sure if links is None else links.unionByName(sure)
-        label = components(links)
-
-    def confirm(pairs: DataFrame) -> None:
-        sets = sets_of(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))))
-        sides = pairs.join(sets.select(F.col("key").alias("a"), F.col("hashes").alias("sa")), "a").join(sets.select(F.col("key").alias("b"), F.col("hashes").alias("sb")), "b")
-        add(staged(sides.mapInArrow(_confirmed(percent), "a binary, b binary"), "minhash-links"))
-
-    def labels(rows: DataFrame) -> DataFrame:
-        if label is None:
-            return rows.withColumn("label", F.col("key"))
-        return rows.join(label, F.col("key") == F.col("node"), "left").withColumn("label", F.coalesce("root", "key")).drop("node", "root")
-
-    large = shared.where(F.col("count") > BLOCK).select("i", "a")
-    if large.head(1):
-        in_large = dealt.join(large, ["i", "a"])
-        leaders = in_large.groupBy("i", "a").agg(F.min("key").alias("leader"))
-        led = in_large.join(leaders, ["i", "a"]).where("key <> leader").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
-        confirm(staged(led, "minhash-led"))
-        apart = labels(in_large).groupBy("i", "a").agg(F.min("label") != F.max("label")).toDF("i", "a", "apart")
-        shared = shared.join(apart, ["i", "a"], "left").where(F.coalesce("apart", F.lit(True))).drop("apart")
-
     blocks = F.ceil(F.greatest(F.col("count") / BLOCK, F.col("hashes") / BLOCK_HASHES)).cast("int")
     met = bucketed.select("key", "i", "a", blocks.alias("blocks"))
     met = met.join(nodes.select("key", "n", "sig"), "key").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))

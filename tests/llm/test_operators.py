@@ -125,6 +125,20 @@ def test_large_buckets_are_compared_in_blocks(spark, monkeypatch, led):
     assert got == {i: least[r] for i, r in enumerate(root)}
 
 
+@pytest.mark.parametrize("led, times", [(10, 1), (1000, 0)])
+def test_only_very_large_buckets_are_led_and_once(spark, monkeypatch, led, times):
+    steps = []
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(neardup, "LED", led)
+    monkeypatch.setattr(neardup, "staged", lambda df, what, f=neardup.staged: steps.append(what) or f(df, what))
+    base = prose(60, random.Random(4))
+    rows = [(i, f"{base} end{i}", "en", "s", 0) for i in range(40)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, DOCS), 4, 80).collect()
+    _, root = near_components(rows, 4)
+    assert len(set(root)) == 1 and {r["component_id"] for r in got} == {0}
+    assert steps.count("minhash-led") == times
+
+
 def test_deduplicated(docs, none):
     sets, root = near_components(ROWS, 5)
     got = [(r["doc_id"], r["text"]) for r in neardup.deduplicated(docs).collect()]
