@@ -74,6 +74,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.neighbours(table(spark, sf_dir, "documents"))
+
+
 def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring.drop_repeated_windows(table(spark, sf_dir, "documents"), 35)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))

@@ -12,6 +12,8 @@ from attesta.llm.quality import words_of
 
 SHINGLE = 5
 LANES = 0x0000000100000001
+#: Fingerprints of a bucket that are compared with each other in one row.
+BUCKET = 512
 
 
 def terms(text: Column, words: Column, shingle: int = SHINGLE) -> Column:
@@ -126,8 +128,9 @@ def within(fps: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
 
     The 64 bits are cut into ``blocks``; two fingerprints within the radius agree on some ``blocks - radius`` of them, so
     there is a table for each such choice, keyed by the bits of the chosen blocks. A pair is taken from the first table
-    in which it meets. Works on distinct fingerprints, so copies add nothing; a join on (table, key) is dealt by Spark,
-    which splits a hot key. Returns ``a, b, distance`` with a < b.
+    in which it meets. Works on distinct fingerprints, so copies add nothing. A bucket of more than ``BUCKET`` is dealt
+    into parts, and each pair of parts is a row of its own; only pairs within the radius leave it. Returns
+    ``a, b, distance`` with a < b.
     """
     if not 0 <= radius < blocks <= 64:
         raise ValueError("0 <= radius < blocks <= 64")
@@ -137,8 +140,26 @@ def within(fps: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
     choices = [signed(sum(masks[i] for i in c)) for c in combinations(range(blocks), blocks - radius)]
     d = fps.select(F.col("fingerprint").alias("fp")).where("fingerprint is not null").distinct()
     keyed = d.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in choices])).alias("t", "key"))
-    a, b = keyed.select(F.col("fp").alias("a"), "t", "key"), keyed.select(F.col("fp").alias("b"), "t", "key")
-    met = a.join(b, ["t", "key"]).where("a < b")
+    shared = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
+    met = keyed.join(shared, ["t", "key"]).withColumn("parts", F.ceil(F.col("n") / BUCKET).cast("int")).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("x", F.least("part", "other")).withColumn("y", F.greatest("part", "other"))
+    cells = met.groupBy("t", "key", "x", "y").agg(F.collect_list(F.when(F.col("part") == F.col("x"), F.col("fp"))).alias("p"), F.collect_list(F.when(F.col("part") == F.col("y"), F.col("fp"))).alias("q"))
+    near = lambda a, b: (F.bit_count(a.bitwiseXOR(b)) <= radius) & ((F.col("x") < F.col("y")) | (a < b))
+    pairs = F.flatten(F.transform("p", lambda a: F.transform(F.filter("q", lambda b: near(a, b)), lambda b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")))))
+    found = cells.select("t", F.inline(pairs))
     x = F.col("a").bitwiseXOR(F.col("b"))
     first = F.array_position(F.array(*[(x.bitwiseAND(F.lit(m).cast("long"))) == 0 for m in choices]), F.lit(True)) - 1
-    return met.where((F.bit_count(x) <= radius) & (first == F.col("t"))).select("a", "b", F.bit_count(x).cast("int").alias("distance"))
+    return found.where(first == F.col("t")).select("a", "b", F.bit_count(x).cast("int").alias("distance"))
+
+
+def neighbours(docs: DataFrame, radius: int = 3, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, fingerprint, n_within, least_id`` of each row: how many other rows' fingerprints lie within the radius,
+    and the least id among those and its own. Every row is searched for; equal fingerprints count too.
+    """
+    fps = staged(fingerprints(docs, id_col=id_col, text_col=text_col), "simhash-searched")
+    each = fps.groupBy("fingerprint").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"))
+    pairs = staged(within(fps, radius), "simhash-pairs")
+    both = pairs.select(F.col("a").alias("of"), F.col("b").alias("fingerprint")).unionByName(pairs.select(F.col("b").alias("of"), F.col("a").alias("fingerprint")))
+    others = both.join(each, "fingerprint").groupBy("of").agg(F.sum("n").alias("more"), F.min("least").alias("near")).withColumnRenamed("of", "fingerprint")
+    groups = each.join(others, "fingerprint", "left").select("fingerprint", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_within"), F.least("least", "near").alias("least_id"))
+    return fps.join(groups, "fingerprint").select("doc_id", as_string(F.col("fingerprint")).alias("fingerprint"), "n_within", "least_id")

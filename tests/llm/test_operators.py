@@ -326,6 +326,20 @@ def test_simhash_radius(spark):
     assert got == {w for w in want if w[2] <= 3} and got
 
 
+@pytest.mark.parametrize("bucket", [4, 512])
+def test_simhash_neighbours_of_every_document(spark, monkeypatch, bucket):
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    rng = random.Random(5)
+    base = [prose(300, rng) for _ in range(12)]
+    rows = [(i, base[i % 12] + (f" end{i}" if i % 3 else "")) for i in range(90)] + [(90, None), (91, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = {r["doc_id"]: r["fingerprint"] & (1 << 64) - 1 for r in simhash.fingerprints(d).collect()}
+    near = {i: [j for j in prints if (prints[i] ^ prints[j]).bit_count() <= 3] for i in prints}
+    got = {r["doc_id"]: (r["fingerprint"], r["n_within"], r["least_id"]) for r in simhash.neighbours(d).collect()}
+    assert got == {i: (f"{prints[i]:016x}", len(near[i]) - 1, min(near[i])) for i in prints}
+    assert any(prints[j] != prints[i] for i in near for j in near[i])
+
+
 def kept_words(rows, n=35):
     seen = Counter(tuple(w[i : i + n]) for _, t, *_ in rows for w in [words_of(t)] for i in range(len(w) - n + 1))
     out = []
