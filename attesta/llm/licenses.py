@@ -68,7 +68,7 @@ NOT_FAMILIES = (
     "A fishing license is required by law in this county.", "The foundation published a version of the report for the public domain of the arts.", "The commons are open to all; creative people meet there.", "An international licence fee applies to commercial radio.",
 )
 
-#: A paragraph is a line; a longer one is judged in overlapping windows of so many words.
+#: A paragraph is a line, or a run of lines; a longer one is judged in overlapping windows of so many words.
 WINDOW, STRIDE = 60, 30
 UNKNOWN = "unknown"
 FAMILIES = tuple(sorted(NAMES))
@@ -83,8 +83,17 @@ def notices() -> dict[str, list[str]]:
     return {f: [*PASSAGES[f], *(frame.format(name) for name in NAMES[f] for frame in FRAMES)] for f in FAMILIES}
 
 
-def paragraphs(text: bytes) -> list[list[bytes]]:
-    return [line.split() for line in text.translate(_PLAIN).split(b"\n")]
+def paragraphs(text: bytes, wrapped: bool = False) -> list[list[bytes]]:
+    """Words of each line; ``wrapped`` adds those of the next lines, up to one without words, to the first of a run."""
+    out = [line.split() for line in text.translate(_PLAIN).split(b"\n")]
+    first = None
+    for i, words in enumerate(out if wrapped else []):
+        if words and first is not None:
+            first += words
+            out[i] = []
+        else:
+            first = words or None
+    return out
 
 
 @dataclass
@@ -100,11 +109,11 @@ class Units:
     inside: tuple[np.ndarray, np.ndarray]
 
 
-def units(texts: list[bytes | None]) -> Units:
+def units(texts: list[bytes | None], wrapped: bool = False) -> Units:
     words: list[bytes] = []
     owner, number, lengths = [], [], []
     for k, text in enumerate(texts):
-        for i, line in enumerate(paragraphs(text or b"")):
+        for i, line in enumerate(paragraphs(text or b"", wrapped)):
             if line:
                 words += line
                 owner.append(k)
@@ -287,10 +296,13 @@ HIT = "line int, start int, end int, family string, probability double, similari
 STEP_BYTES = 2_000_000
 
 
-def found(model: LicenseModel, texts: list[bytes | None], least_probability: float, least_similarity: float) -> list[list[dict]]:
-    """The licence paragraphs of each text. Of windows of one line that overlap and agree, the likeliest stands."""
-    out: list[list[dict]] = [[] for _ in texts]
-    u = units(texts)
+#: Families whose notices hold the words of another's, by that other.
+WIDER = {"gpl": ("lgpl", "agpl"), "cc-by": ("cc-by-nc", "cc-by-sa")}
+
+
+def _judged(model: LicenseModel, u: Units, n: int, least_probability: float, least_similarity: float) -> list[list[tuple[int, int, dict]]]:
+    """(first word, end, hit) of each of ``n`` texts. Of windows of one unit that overlap and agree, the likeliest stands."""
+    out: list[list[tuple[int, int, dict]]] = [[] for _ in range(n)]
     if not len(u.start):
         return out
     p = model.probabilities(u)
@@ -299,21 +311,45 @@ def found(model: LicenseModel, texts: list[bytes | None], least_probability: flo
         family, likely = FAMILIES[best[k]], float(p[k, best[k]])
         s = model.similarity(u, k, family)
         hit = {"line": int(u.line[k]), "start": int(u.offset[k]), "end": int(u.offset[k] + u.end[k] - u.start[k]), "family": family, "probability": likely, "similarity": s, "confirmed": s >= least_similarity}
-        into = out[int(u.owner[k])]
-        if into and into[-1]["line"] == hit["line"] and into[-1]["family"] == family and hit["start"] < into[-1]["end"]:
-            if (hit["confirmed"], likely) > (into[-1]["confirmed"], into[-1]["probability"]):
-                into[-1] = hit
+        into, found_ = out[int(u.owner[k])], (int(u.start[k]), int(u.end[k]), hit)
+        last = into[-1][2] if into else None
+        if last and last["line"] == hit["line"] and last["family"] == family and hit["start"] < last["end"]:
+            if (hit["confirmed"], likely) > (last["confirmed"], last["probability"]):
+                into[-1] = found_
         else:
-            into.append(hit)
+            into.append(found_)
+    return out
+
+
+def found(model: LicenseModel, texts: list[bytes | None], least_probability: float, least_similarity: float) -> list[list[dict]]:
+    """The licence paragraphs of each text: its lines, and windows over the breaks of consecutive lines.
+
+    A window over breaks adds a hit where a reference notice shares more word pairs with it than with any one line in it.
+    It takes the place of hits of those lines that were only a part of it ('General Public License' after 'GNU Lesser').
+    """
+    u = units(texts)
+    lines = _judged(model, u, len(texts), least_probability, least_similarity)
+    over = _judged(model, units(texts, wrapped=True), len(texts), least_probability, least_similarity)  # words are at the same places
+    out = []
+    for own, more in zip(lines, over, strict=True):
+        added, gone = [], set()
+        for a, b, hit in more:
+            shared = lambda c, d, f=hit["family"]: max(len(t & frozenset(u.grams[1][c : d - 1].tolist())) for t in model.templates[f])
+            parts = range(np.searchsorted(u.start, a - WINDOW), np.searchsorted(u.start, b))
+            if not hit["confirmed"] or shared(a, b) <= max(shared(max(a, int(u.start[k])), min(b, int(u.end[k]))) for k in parts if u.end[k] > a):
+                continue
+            gone |= {k for k, (c, d, h) in enumerate(own) if c < b and a < d and (h["family"] == hit["family"] or hit["family"] in WIDER.get(h["family"], ()))}
+            added.append((a, b, hit))
+        out.append([h for *_, h in sorted([x for k, x in enumerate(own) if k not in gone] + added, key=lambda x: x[:2])])
     return out
 
 
 def scan(docs: DataFrame, model: LicenseModel, *, id_col: str = "doc_id", text_col: str = "text", least_probability: float = 0.5, least_similarity: float = 0.6) -> DataFrame:
     """``doc_id, n_paragraphs, hits`` of each row, over every paragraph of the whole text.
 
-    A hit is a line (or window of a long line, in words) whose family is more probable than ``least_probability``;
+    A hit is a line or a run of lines (or a window of a long one, in words), named by its first line, whose family is more probable than ``least_probability``;
     ``confirmed`` says that a reference notice of the family shares enough word pairs with it. Everything else is of
-    the unknown class. A null or empty text has no paragraphs; ids may be null or repeat, each row is judged alone.
+    the unknown class. ``n_paragraphs`` counts lines. A null or empty text has none; ids may be null or repeat, each row is judged alone.
     """
     kind = pa.list_(pa.struct([("line", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("similarity", pa.float64()), ("confirmed", pa.bool_())]))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most ``vocabulary`` rows of weights, whatever the data

@@ -295,6 +295,14 @@ def test_licenses(spark, docs, none):
     assert licenses.scan(none, model).count() == 0 and licenses.scan(d, licenses.fit(none)).count() == d.count()
 
 
+def test_licenses_in_wrapped_lines(spark, none):
+    wrapped = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser\nGeneral Public License as published by the Free Software Foundation; either\nversion 2.1 of the License, or any later version."
+    d = spark.createDataFrame([(1, f"{prose(30, random.Random(1))}\n\n{wrapped}\n\nThe end."), (2, "Licensed under the GNU Lesser\nGeneral Public License, version 3.")], "doc_id long, text string")
+    model = licenses.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    hits = {r["doc_id"]: [(h["line"], h["family"]) for h in r["hits"] if h["confirmed"]] for r in licenses.scan(d, model).collect()}
+    assert hits == {1: [(2, "lgpl")], 2: [(0, "lgpl")]}
+
+
 def test_simhash_edits(spark, none):
     rows = [(i, t) for i, (_, t, *_) in enumerate(ROWS)]
     d = spark.createDataFrame(rows, "doc_id long, text string")
