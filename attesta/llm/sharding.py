@@ -35,20 +35,23 @@ def _schedule(n_shards: int):
     return run
 
 
-def lpt_shards(docs: DataFrame, n_shards: int = 8, *, id_col: str = "doc_id", text_col: str = "text", salts: int = 64) -> DataFrame:
+def lpt_shards(docs: DataFrame, n_shards: int = 8, *, id_col: str = "doc_id", text_col: str = "text", salts: int | None = None) -> DataFrame:
     """Deals documents to ``n_shards`` shards of nearly equal bytes; equal texts stay together.
 
     Scheduling is longest-processing-time in two levels, so that neither a task nor the driver holds all groups:
     groups (equal texts) are range-partitioned by descending size; each range is packed by a heap into ``n_shards``
     bins; then the bins of all ranges (partitions x shards of them, the driver's only data) are scheduled the same way.
-    A group's copies are numbered in ``salts`` pieces, so one group with a third of all rows is no single task; the
-    group itself is one unit and fills a shard alone if it exceeds a shard's share.
+    A group's copies are numbered in ``salts`` pieces (four for each shuffle partition by default, so that they follow the
+    cluster's size), so one group with a third of all rows is no single task; the group itself is one unit and fills a shard
+    alone if it exceeds a shard's share. Where a range holds far more groups than shards, its bins are nearly equal, so the
+    shards differ by little more than the largest group, as those of one global schedule would.
 
     Returns ``doc_id, size, text_crc32, law, shard, slot, grown_shard``. A null text has size 1 and CRC 0 and groups
     with other nulls, apart from empty texts. Null ids are allowed; repeated rows each get a slot. An empty table
     gives no rows.
     """
     spark = docs.sparkSession
+    salts = salts or 4 * shuffle_partitions(spark)
     d = pick(docs, doc_id=id_col, text=text_col)
     rows = d.select(
         "doc_id",
