@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import Rolling, binaries, hash_words, one_part_each, pick, shuffle_partitions, text_bytes, text_key
+from attesta.llm.common import Rolling, binaries, hash_words, one_part_each, pick, shuffle_partitions, staged, text_bytes, text_key
 
 #: Perfect difference cover: every residue modulo the period is a difference of two members.
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
 #: Words gathered by a task before it sends what it found.
 FLUSH_WORDS = 1_000_000
+#: Bytes of text for each part of the hash space, and texts with more copies than one in so many rows (of which there are
+#: at most so many) are handled apart.
+PART_BYTES, HEAVY = 256 << 20, 10_000
 BASES = (0x9E3779B97F4A7C15 | 3, 0xC2B2AE3D27D4EB4F | 3)
-SENT = pa.schema([(c, pa.int32() if c == "part" else pa.binary()) for c in ("part", "h1", "h2", "low", "high", "counts", "ids")])
-SENT_DDL = "part int, h1 binary, h2 binary, low binary, high binary, counts binary, ids binary"
+SENT = pa.schema([(c, pa.int32() if c == "part" else pa.binary()) for c in ("part", "h1", "h2", "many", "low", "high", "counts", "ids")])
+SENT_DDL = "part int, h1 binary, h2 binary, many binary, low binary, high binary, counts binary, ids binary"
 REPLY = pa.schema([(c, pa.int32() if c == "part" else pa.binary()) for c in ("part", "low", "high", "counts", "ids")])
 REPLY_DDL = "part int, low binary, high binary, counts binary, ids binary"
 FOUND = pa.schema([("key", pa.binary()), ("hits", pa.binary())])
@@ -30,7 +33,9 @@ class _Sender:
     """Gathers (hash, document, position) and sends them as one row for each part of the hash space.
 
     Hashes of ``kinds[0]`` bits within a part, and of ``kinds[1]`` more for whole windows; positions as two planes of 16
-    bits, the upper of which compresses away; each document's key once for its run of positions.
+    bits, the upper of which compresses away; each document's key once for its run of positions. Places whose hash is
+    gathered at another place too are known to be repeated: they go straight to the tasks that gather by text (rows without
+    hashes), and one of them stands for all, so a passage that all documents hold doesn't fill its part.
     """
 
     def __init__(self, parts: np.ndarray, kinds: tuple):
@@ -52,25 +57,63 @@ class _Sender:
     def send(self) -> Iterator[pa.RecordBatch]:
         if self.n and sum(self.n):
             h1, at = np.concatenate(self.h1), np.concatenate(self.at)
+            h2 = np.concatenate(self.h2) if self.h2 else None
+            ids = np.frombuffer(b"".join(self.ids), np.uint64).reshape(-1, 2)
             who = np.repeat(np.arange(len(self.n), dtype=np.uint32), self.n)
+            first, many = _repeats([h1] if h2 is None else [h2, h1], ids[who, 0], ids[who, 1], at)
+            if many.any():
+                for to, *row in _by_part(self.parts, ids[who[many], 0], ids[who[many], 1], at[many]):
+                    none = pa.nulls(len(to), pa.binary())
+                    yield pa.RecordBatch.from_arrays([to, none, none, none, *row], schema=SENT)
+            h1, at, who, many = h1[first], at[first], who[first], many[first]
             part = ((h1 >> np.uint64(32)) % np.uint64(len(self.parts))).astype(np.uint32)
-            order = np.argsort(part, kind="stable")
-            part, at, who = part[order], at[order], who[order]
+            order = np.lexsort((who, part))
+            part, at, who, many = part[order], at[order], who[order], many[order].astype(np.uint8)
             h1 = h1[order].astype(self.kinds[0])
-            h2 = np.concatenate(self.h2)[order] if self.h2 else np.empty(0, np.uint16)
+            h2 = np.empty(0, np.uint16) if h2 is None else h2[first][order]
             cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
             bounds = np.r_[cuts, len(part)]
             runs = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (who[1:] != who[:-1])])
             counts = np.diff(np.r_[runs, len(part)]).astype(np.uint32)
-            ids = np.frombuffer(b"".join(self.ids), np.uint64).reshape(-1, 2)[who[runs]].reshape(-1)
+            keys = ids[who[runs]].reshape(-1)
             groups = np.r_[np.searchsorted(runs, cuts), len(runs)]
             low, high = (at & np.uint32(0xFFFF)).astype(np.uint16), (at >> np.uint32(16)).astype(np.uint16)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(self.parts[part[cuts]]), binaries(h1, bounds), binaries(h2, bounds if len(h2) else 0 * bounds), binaries(low, bounds), binaries(high, bounds), binaries(counts, groups), binaries(ids, 2 * groups)], schema=SENT
+                [pa.array(self.parts[part[cuts]]), binaries(h1, bounds), binaries(h2, bounds if len(h2) else 0 * bounds), binaries(many, bounds), binaries(low, bounds), binaries(high, bounds), binaries(counts, groups), binaries(keys, 2 * groups)], schema=SENT
             )
         self._clear()
 
 
+def _repeats(keys: list[np.ndarray], lo: np.ndarray, hi: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of one entry for each key (the last of ``keys`` sorts first), and for every entry whether its key is also
+    found at another place. The same place may come twice, from copies of a text."""
+    order = np.lexsort(keys)
+    same = np.ones(len(at) - 1, bool)
+    for k in keys:
+        k = k[order]
+        same &= k[1:] == k[:-1]
+    starts = np.flatnonzero(np.r_[True, ~same])
+    group = np.cumsum(np.r_[True, ~same]) - 1
+    lo, hi, at = lo[order], hi[order], at[order]
+    first = starts[group]
+    other = (lo != lo[first]) | (hi != hi[first]) | (at != at[first])
+    many = np.empty(len(at), bool)
+    many[order] = (np.bincount(group, weights=other) > 0)[group]
+    return order[starts], many
+
+
+def _by_part(parts: np.ndarray, lo: np.ndarray, hi: np.ndarray, at: np.ndarray) -> Iterator[tuple[pa.Array, ...]]:
+    """Places packed for the tasks that gather them by text: part, low, high, counts, ids."""
+    to = (lo % np.uint64(len(parts))).astype(np.uint32)
+    lo, hi, at, to, runs = _by_text(lo, hi, at, to)
+    counts = np.diff(np.r_[runs, len(at)]).astype(np.uint32)
+    cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
+    bounds, groups = np.r_[cuts, len(to)], np.r_[np.searchsorted(runs, cuts), len(runs)]
+    keys = np.stack([lo[runs], hi[runs]], axis=1).reshape(-1)
+    low, high = (at & np.uint32(0xFFFF)).astype(np.uint16), (at >> np.uint32(16)).astype(np.uint16)
+    yield pa.array(parts[to[cuts]]), binaries(low, bounds), binaries(high, bounds), binaries(counts, groups), binaries(keys, 2 * groups)
+
+
 def _anchors(parts: np.ndarray, window: int):
     """Hashes of the anchor windows at cover positions of each text with at least one window."""
     length = window - PERIOD + 1
@@ -126,52 +169,53 @@ def _candidates(parts: np.ndarray, window: int):
 def _repeated(kinds: tuple, parts: np.ndarray):
     """Places whose hash is also found at another place, packed for the tasks that gather them by text.
 
-    Gets whole parts of the hash space; a task's share is (all hashes) / partitions. One much repeated hash adds a
-    place for each text that holds it, so it can't outgrow the texts themselves.
+    Gets whole parts of the hash space, of which the number follows the input. A much repeated hash comes once from each
+    million words, not from each text. Places that are known to be repeated are passed on as they come.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("h1", "h2", "low", "high", "counts", "ids")
-        types = (kinds[0], kinds[1] or np.uint16, np.uint16, np.uint16, np.uint32, np.uint64)
+        names = ("h1", "h2", "many", "low", "high", "counts", "ids")
+        types = (kinds[0], kinds[1] or np.uint16, np.uint8, np.uint16, np.uint16, np.uint32, np.uint64)
         cols: list[list] = [[] for _ in names]
         where: list[np.ndarray] = []
         for batch in batches:
+            known = batch.filter(pc.is_null(batch.column("h1")))
+            if len(known):
+                yield pa.RecordBatch.from_arrays([known.column(c) for c in REPLY.names], schema=REPLY)
+            batch = batch.filter(pc.is_valid(batch.column("h1")))
             for part, *row in zip(*(batch.column(c).to_pylist() for c in ("part", *names)), strict=True):
                 for into, kind, raw in zip(cols, types, row, strict=True):
                     into.append(np.frombuffer(raw, kind))
                 where.append(np.full(len(cols[0][-1]), part, np.int32))
-        if where:
-            yield from _places(parts, np.concatenate(where), *(np.concatenate(c) for c in cols))
+        if not where:
+            return
+        part, (h1, h2, known, low, high, counts, ids) = np.concatenate(where), (np.concatenate(c) for c in cols)
+        at = low.astype(np.uint32) | (high.astype(np.uint32) << np.uint32(16))
+        lo, hi = (np.repeat(ids.reshape(-1, 2)[:, k], counts) for k in (0, 1))
+        keys = [part, h2, h1] if len(h2) else [part, h1]
+        _, many = _repeats(keys, lo, hi, at)
+        # one that stands for several tells the others of its hash that they are repeated; it knows itself already
+        many |= _marked(keys, known > 0)
+        if many.any():
+            yield from (pa.RecordBatch.from_arrays(list(row), schema=REPLY) for row in _by_part(parts, lo[many], hi[many], at[many]))
 
     return run
 
 
-def _places(parts, part, h1, h2, low, high, counts, ids) -> Iterator[pa.RecordBatch]:
-    at = low.astype(np.uint32) | (high.astype(np.uint32) << np.uint32(16))
-    ids = np.repeat(ids.reshape(-1, 2), counts, axis=0)
-    lo, hi = ids[:, 0], ids[:, 1]
-    keys = (part, h2, h1) if len(h2) else (part, h1)
+def _marked(keys: list[np.ndarray], known: np.ndarray) -> np.ndarray:
+    """For every entry, whether any of its key is marked."""
+    if not known.any():
+        return known
     order = np.lexsort(keys)
-    same = np.ones(len(at) - 1, bool)
+    fresh = np.zeros(len(known), bool)
+    fresh[0] = True
     for k in keys:
         k = k[order]
-        same &= k[1:] == k[:-1]
-    group = np.cumsum(np.r_[True, ~same]) - 1
-    first = np.flatnonzero(np.r_[True, ~same])[group]
-    lo, hi, at = lo[order], hi[order], at[order]
-    other = (lo != lo[first]) | (hi != hi[first]) | (at != at[first])  # the same place may come twice, from copies of a text
-    keep = (np.bincount(group, weights=other) > 0)[group]
-    lo, hi, at = lo[keep], hi[keep], at[keep]
-    if not len(at):
-        return
-    to = (lo % np.uint64(len(parts))).astype(np.uint32)
-    lo, hi, at, to, runs = _by_text(lo, hi, at, to)
-    counts = np.diff(np.r_[runs, len(at)]).astype(np.uint32)
-    cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
-    bounds, groups = np.r_[cuts, len(to)], np.r_[np.searchsorted(runs, cuts), len(runs)]
-    keys = np.stack([lo[runs], hi[runs]], axis=1).reshape(-1)
-    low, high = (at & np.uint32(0xFFFF)).astype(np.uint16), (at >> np.uint32(16)).astype(np.uint16)
-    yield pa.RecordBatch.from_arrays([pa.array(parts[to[cuts]]), binaries(low, bounds), binaries(high, bounds), binaries(counts, groups), binaries(keys, 2 * groups)], schema=REPLY)
+        fresh[1:] |= k[1:] != k[:-1]
+    group = np.cumsum(fresh) - 1
+    out = np.empty(len(known), bool)
+    out[order] = (np.bincount(group, weights=known[order]) > 0)[group]
+    return out
 
 
 def _by_text(lo, hi, at, to):
@@ -220,6 +264,7 @@ def _removed(window: int, layout: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pc.invert(batch.column("stands")))
             out: list[list] = [[], [], []]
             for text, many, hits in zip(text_bytes(batch.column("text")), batch.column("copied").to_pylist(), batch.column("hits").to_pylist(), strict=True):
                 if layout and not hits and not many:
@@ -260,8 +305,10 @@ def drop_repeated_windows(docs: DataFrame, window: int = 35, *, id_col: str = "d
     2. Extension: only windows that hold a repeated anchor are hashed whole (80 bits within a part) and compared.
     3. Words under repeated windows go.
     Hashes travel packed, one row for each task's part of the hash space, and are compared by sorting in bounded parts;
-    what is found goes back packed by text.
-    A text that occurs twice or more is repeated as a whole, so copies are found by key, not window by window.
+    what is found goes back packed by text. A task sends each hash once for every million words, so a passage that all
+    documents hold weighs little.
+    A text that occurs twice or more is repeated as a whole, so copies are found by key, not window by window. Rows of the
+    most copied texts (at most ``HEAVY`` texts, whose keys are broadcast) stay where they are; one of each stands for all.
 
     Returns ``doc_id, n_words, n_removed, kept_text`` for each input row, kept words joined by one space (with
     ``layout``, each after its own white space, and texts that lose nothing unchanged), and ``carried``, a struct of the
@@ -271,26 +318,32 @@ def drop_repeated_windows(docs: DataFrame, window: int = 35, *, id_col: str = "d
     if window < PERIOD + 4:
         raise ValueError(f"a window needs {PERIOD + 4} words or more")
     spark = docs.sparkSession
-    parts = one_part_each(shuffle_partitions(spark))
-    n = len(parts)
-    # both joins below read this by the same key and columns, so that Spark shuffles the texts once
+    # both joins below read texts by the same key and columns, so that Spark shuffles them once
     carried = F.struct(*[docs[c].alias(c) for c in carry]) if carry else F.lit(None).cast("int")
     d = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), carried.alias("carried"))
     d = d.withColumn("key", F.coalesce(text_key(F.col("text")), F.unhex(F.lit(""))))
+    each = staged(d.where("text is not null").groupBy("key").agg(F.count("*").alias("count"), F.max(F.octet_length("text")).cast("long").alias("size")), "substring-copies")
+    rows, size = each.agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    n = max(shuffle_partitions(spark), -(-size // PART_BYTES))
+    parts = one_part_each(n)
+    heavy = F.broadcast(each.where(F.col("count") * HEAVY > rows).where("count > 1").select("key"))  # fewer than HEAVY keys
+    hot = d.join(heavy, "key", "left_semi")
+    d = d.join(heavy, "key", "left_anti").select("doc_id", "key", "text", "carried", F.lit(False).alias("stands"))
+    one = hot.groupBy("key").agg(F.first("text").alias("text"))
+    d = d.unionByName(one.select(F.lit(None).cast("long").alias("doc_id"), "key", "text", F.lit(None).cast(d.schema["carried"].dataType).alias("carried"), F.lit(True).alias("stands")))
 
     def places(sent: DataFrame, kinds: tuple) -> DataFrame:
         replies = sent.repartition(n, "part").mapInArrow(_repeated(kinds, parts), REPLY_DDL)
         return replies.repartition(n, "part").mapInArrow(_gathered, FOUND_DDL)
 
-    copied = d.where("text is not null").groupBy("key").count().where("count > 1").select("key", F.lit(True).alias("copied"))
+    columns = ("doc_id", "key", "text", "copied", "hits", "carried", "stands")
+    copied = each.where("count > 1").select("key", F.lit(True).alias("copied"))
     anchors = places(d.select("key", "text").mapInArrow(_anchors(parts, window), SENT_DDL), (np.uint32, None))
     marked = anchors.join(copied, "key", "left")
-    wide = d.join(marked.hint("shuffle_hash"), "key").select("doc_id", "key", "text", "copied", "hits", "carried")
+    wide = d.join(marked.hint("shuffle_hash"), "key").select(*columns)
     windows = places(wide.mapInArrow(_candidates(parts, window), SENT_DDL), (np.uint64, np.uint16))
     verdicts = windows.join(copied, "key", "full_outer")
-    last = d.join(verdicts.hint("shuffle_hash"), "key", "left").select("doc_id", "text", "copied", "hits", "carried")
+    last = d.join(verdicts.hint("shuffle_hash"), "key", "left").select(*columns)  # those that stand for copies go at the end: a filter here would reach one join and not the other
+    last = last.unionByName(hot.select("doc_id", "key", "text", F.lit(True).alias("copied"), F.lit(None).cast("binary").alias("hits"), "carried", F.lit(False).alias("stands")))
     return last.mapInArrow(_removed(window, layout), f"doc_id long, n_words long, n_removed long, kept_text string, carried {d.schema['carried'].dataType.simpleString()}")
 
-
-def sha256_hex(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()

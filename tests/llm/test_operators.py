@@ -1,11 +1,15 @@
 """The ten operators against brute force, round trips and held-out accuracy, on small tables with awkward rows."""
 
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,37 +110,68 @@ def test_near_duplicates(docs, none, k):
     assert neardup.near_duplicates(none, k, 80).count() == 0
 
 
-@pytest.mark.parametrize("led", [10, 1000])
-def test_large_buckets_are_compared_in_blocks(spark, monkeypatch, led):
-    monkeypatch.setattr(neardup, "BLOCK", 8)
-    monkeypatch.setattr(neardup, "LED", led)
-    base = prose(60).split()
-    rows = []
-    for i in range(60):
+def crowd(n, shared, rng):
+    """Texts that share a passage, of which each has ``shared`` in a hundred words."""
+    passage = prose(shared, rng)
+    return [f"{passage} {prose(100 - shared, rng)}" for _ in range(n)]
+
+
+def edits(n, words, rng):
+    base = prose(words, rng).split()
+    out = [" ".join(base)]
+    for i in range(n):
         w = list(base)
-        w[i] = f"edit{i}"
-        rows.append((i, " ".join(w), "en", "s", 0))
-    rows.append((60, " ".join(base), "en", "s", 0))
-    _, root = near_components(rows, 4)
-    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, DOCS), 4, 80).collect()}
-    least = defaultdict(lambda: 1 << 60)
+        for k in rng.sample(range(words), 1 + i % 3):
+            w[k] = f"edit{i}"
+        out.append(" ".join(w))
+    return out
+
+
+def least_ids(texts, k):
+    _, root = near_components(list(enumerate(texts)), k)
+    least = {}
     for i, r in enumerate(root):
-        least[r] = min(least[r], i)
-    assert got == {i: least[r] for i, r in enumerate(root)}
+        least.setdefault(r, i)
+    return {i: least[r] for i, r in enumerate(root)}
 
 
-@pytest.mark.parametrize("led, times", [(10, 1), (1000, 0)])
-def test_only_very_large_buckets_are_led_and_once(spark, monkeypatch, led, times):
-    steps = []
-    monkeypatch.setattr(neardup, "BLOCK", 8)
+@pytest.mark.parametrize("block", [4, 8, 1024])
+@pytest.mark.parametrize("led", [1, 4])
+def test_hot_buckets_lose_no_link(spark, monkeypatch, block, led):
+    monkeypatch.setattr(neardup, "BLOCK", block)
     monkeypatch.setattr(neardup, "LED", led)
-    monkeypatch.setattr(neardup, "staged", lambda df, what, f=neardup.staged: steps.append(what) or f(df, what))
-    base = prose(60, random.Random(4))
-    rows = [(i, f"{base} end{i}", "en", "s", 0) for i in range(40)]
-    got = neardup.near_duplicates(spark.createDataFrame(rows, DOCS), 4, 80).collect()
-    _, root = near_components(rows, 4)
-    assert len(set(root)) == 1 and {r["component_id"] for r in got} == {0}
-    assert steps.count("minhash-led") == times
+    rng = random.Random(12)
+    texts = [*edits(60, 60, rng), *crowd(40, 60, rng), *crowd(30, 80, rng), *crowd(12, 90, rng)]
+    rng.shuffle(texts)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), 4, 80).collect()}
+    assert got == least_ids(texts, 4)
+
+
+def test_cells_are_the_same_formed_at_once_or_key_by_key(monkeypatch):
+    second = np.random.default_rng(1).integers(0, 9, (200, 16)).astype(np.uint64)
+    second[:, 3:] += np.arange(200, dtype=np.uint64)[:, None] * np.uint64(100)
+    whole = neardup._cells(second)
+    monkeypatch.setattr(neardup, "FEW", 200)
+    at_once = neardup._cells(second)
+    np.fill_diagonal(whole, True)
+    assert (whole == at_once).all() and not whole.all()
+
+
+def test_rows_of_a_hot_bucket_grow_in_proportion(spark, monkeypatch):
+    """Texts that are not linked share a bucket; no step makes a row for each pair of them."""
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    rows = Counter()
+
+    def staged(df, what, f=neardup.staged):
+        out = f(df, what)
+        rows[n, what] += out.count()
+        return out
+
+    monkeypatch.setattr(neardup, "staged", staged)
+    for n in (150, 600):
+        d = spark.createDataFrame([(i, t) for i, t in enumerate(crowd(n, 35, random.Random(3)))], "doc_id long, text string")
+        assert neardup.near_duplicates(d, 4, 80).where("kept").count() == n
+    assert rows[600, "minhash-hot"] > 600 and all(got <= 16 * n for (n, _), got in rows.items()), rows
 
 
 def test_deduplicated(docs, none):
@@ -173,16 +208,63 @@ def test_toxicity_learns_and_finds_passages(spark, none):
     assert toxicity.score(d, toxicity.fit(none, lab)).count() == len(rows)
 
 
+def maximal_segments(scores):
+    """All maximal segments by their definition: the best segment (the shortest of equal ones), then those on both sides."""
+    best = max(((sum(scores[i:j]), i - j, -i) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)), default=(0,))
+    if best[0] <= 1e-12:
+        return []
+    i = -best[2]
+    j = i - best[1]
+    return [*maximal_segments(scores[:i]), (i, j, best[0]), *((a + j, b + j, s) for a, b, s in maximal_segments(scores[j:]))]
+
+
 def test_segments_are_all_maximal():
     rng = random.Random(3)
-    for _ in range(200):
+    for _ in range(300):
         lexicon = {"a": rng.uniform(0.1, 3), "b": rng.uniform(-3, -0.1), "c": rng.uniform(0.1, 2)}
         tokens = [rng.choice("abcd") for _ in range(rng.randrange(1, 25))]
-        scores = [lexicon.get(t, -0.25) for t in tokens]
-        best = max(sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1))
-        got = toxicity.segments(tokens, lexicon, 0.25)
-        assert all(abs(sum(scores[a:b]) - s) < 1e-9 for a, b, s in got)
-        assert not got or best <= 0 or abs(max(s for *_, s in got) - best) < 1e-9
+        got = toxicity.segments(tokens, lexicon, 0.251)
+        want = maximal_segments([lexicon.get(t, -0.251) for t in tokens])
+        assert [x[:2] for x in got] == [x[:2] for x in want] and all(abs(x[2] - y[2]) < 1e-9 for x, y in zip(got, want, strict=True))
+
+
+def test_segments_take_linear_time():
+    tokens = (["hit"] + ["x"] * 9) * 160_000  # totals fall, so that nothing is ever joined
+    began = time.process_time()
+    assert len(toxicity.segments(tokens, {"hit": 1.0}, 0.25)) == 160_000
+    assert time.process_time() - began < 5
+
+
+def test_extreme_value_constants_against_simulated_maxima():
+    units = {-5: 9000, 20: 300, 40: 200, 60: 100, -12: 400}
+    lam, k = toxicity.karlin(units)
+    score, p = np.array(list(units)) * toxicity.GRID, np.array(list(units.values())) / sum(units.values())
+    assert abs((p * np.exp(lam * score)).sum() - 1) < 1e-9
+    rng, n = np.random.default_rng(1), 2000
+    total, best = np.zeros(4000), np.zeros(4000)
+    for _ in range(n):
+        total = np.maximum(total + rng.choice(score, size=len(total), p=p), 0)
+        best = np.maximum(best, total)
+    for x in (5.0, 6.0, 8.0, 10.0):
+        assert abs((best >= x - 1e-9).mean() - (1 - math.exp(-k * n * math.exp(-lam * x)))) < 0.05
+    assert toxicity.karlin({}) == toxicity.karlin({3: 1}) == toxicity.karlin({-3: 5}) == (1.0, 1.0)
+
+
+def test_toxicity_held_out_on_the_given_table(spark):
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    out = queries.op3_toxicity(spark, "/root/testdata/sf0.1").where("held_out").join(labels, "doc_id")
+    n = {(r["toxic"], r["predicted"]): r["count"] for r in out.groupBy("toxic", "predicted").count().collect()}
+    assert n[1, 1] >= 0.9 * (n[1, 1] + n.get((1, 0), 0)) and n.get((0, 1), 0) <= 0.005 * n[0, 0]
+
+
+def test_toxicity_labels_with_repeats_and_nulls(spark):
+    texts = [(i, f"{'vile scum ' if i % 2 else ''}plain words here {i}", i, None) for i in range(60)]
+    docs = spark.createDataFrame([*texts, (3, "vile again", 0, None), (None, "vile", 0, None)], "doc_id long, text string, toxic long, n long")
+    marks = [(i, i % 2) for i in range(60)]
+    plain = toxicity.fit(docs, spark.createDataFrame(marks, "doc_id long, toxic int"))
+    noisy = toxicity.fit(docs, spark.createDataFrame([*marks, (1, 0), (5, None), (None, 1), (999, 1)], "doc_id long, toxic int"))
+    assert plain == noisy and plain.lexicon["vile"] > 0
+    assert toxicity.score(docs, plain).count() == 62
 
 
 def test_mixing_reaches_targets(spark, docs, none):
@@ -368,3 +450,46 @@ def test_substrings_keep_layout(docs):
     assert Counter((r["doc_id"], " ".join(words_of(r["kept_text"]))) for r in rows) == Counter((i, k) for i, _, _, k in kept_words(ROWS))
     whole = Counter((i, t) for i, t, *_ in ROWS)
     assert all((r["doc_id"], r["kept_text"]) in whole for r in rows if not r["n_removed"]) and {r["carried"]["source"] for r in rows} == {"s"}
+
+
+@pytest.mark.parametrize("flush, heavy, part", [(1, 1, 1 << 12), (300, 10_000, 256 << 20), (1_000_000, 2, 1 << 14)])
+def test_substrings_that_all_documents_hold(spark, monkeypatch, flush, heavy, part):
+    """Whatever a task gathers before it sends, however many parts there are and whichever copies stay apart."""
+    monkeypatch.setattr(substring, "FLUSH_WORDS", flush)
+    monkeypatch.setattr(substring, "HEAVY", heavy)
+    monkeypatch.setattr(substring, "PART_BYTES", part)
+    rng = random.Random(21)
+    passage, other = prose(80, rng), prose(36, rng)
+    texts = [f"{prose(rng.randrange(40), rng)} {passage} {prose(5, rng)}" for _ in range(60)] + [f"{other} x{i} {other}" for i in range(3)]
+    texts += [texts[0]] * 30 + [texts[5]] * 2 + ["short copy"] * 5 + [None, None, "", prose(400, rng), " ".join(["again"] * 90)]
+    rows = [(i if i % 9 else None, t, "en", "s", 0) for i, t in enumerate(texts)]
+    d = spark.createDataFrame(rows, DOCS)
+    for repartitioned in (d.repartition(1), d.repartition(7)):
+        got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in substring.drop_repeated_windows(repartitioned, 35).collect())
+        assert got == Counter(kept_words(rows))
+
+
+def test_a_passage_that_all_hold_is_sent_once_for_a_million_words():
+    rng = random.Random(2)
+    passage = prose(60, rng)
+    texts = [f"{passage} {prose(10, rng)}".encode() for _ in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(t).digest()[:16] for t in texts]), pa.array([t.decode() for t in texts])], names=["key", "text"])
+    sent = [r for b in substring._anchors(np.arange(4, dtype=np.int32), 35)(iter([batch])) for r in b.to_pylist()]
+    compared = sum(len(r["h1"]) // 4 for r in sent if r["h1"] is not None)
+    passed = sum(len(r["low"]) // 2 for r in sent if r["h1"] is None)
+    assert passed >= 400 * 10 and compared <= 400 * 6
+
+
+def test_sharding_is_close_to_one_global_schedule(spark):
+    rng = random.Random(8)
+    texts = [prose(int(rng.paretovariate(1.1) * 6) % 900 + 1, rng) for _ in range(1500)]
+    texts += [texts[0]] * 40
+    size = defaultdict(Counter)
+    for r in sharding.lpt_shards(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), 8).collect():
+        size["ours"][r["shard"]] += r["size"]
+    groups = Counter(texts)
+    for load in sorted(((len(t.encode()) + 1) * n for t, n in groups.items()), reverse=True):
+        size["global"][min(range(8), key=lambda s: size["global"][s])] += load
+    spread = {k: max(v.values()) - min(v.values()) for k, v in size.items()}
+    assert sum(size["ours"].values()) == sum(size["global"].values())
+    assert spread["ours"] <= spread["global"] + 0.002 * sum(size["ours"].values())
