@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,25 +26,61 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset, one below the warehouse."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset, as in tests, one below the warehouse, which on a
+    cluster must then be a folder that driver and executors share."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_attesta_staging"
     return folder.rstrip("/")
 
 
+#: Paths staged so far, in order.
+_STAGED: list[str] = []
+
+
 def staged(df: DataFrame, what: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again.
 
     This freezes values that depend on how rows were dealt out (partition numbers, range bounds) and cuts
-    lineage; a lost executor costs only a re-read.
+    lineage; a lost executor costs only a re-read. What is staged stays, as results may read it later; see ``scratch``.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/attesta/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Deletes at its end what is staged inside, but for tables staged by the function it gives."""
+    before, kept = len(_STAGED), set()
+
+    def keep(df: DataFrame, what: str) -> DataFrame:
+        out = staged(df, what)
+        kept.add(_STAGED[-1])
+        return out
+
+    try:
+        yield keep
+    finally:
+        made, _STAGED[before:] = _STAGED[before:], []
+        _STAGED.extend(p for p in made if p in kept)
+        delete(spark, [p for p in made if p not in kept])
+
+
+def last_staged() -> list[str]:
+    """The path of the table staged last, as a list."""
+    return _STAGED[-1:]
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Removes staged tables, wherever the shared folder is."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_key(text: Column) -> Column:
     """16 bytes of SHA-256 of the text; an empty binary for null."""
     return F.when(text.isNull(), F.unhex(F.lit(""))).otherwise(F.substring(F.unhex(F.sha2(text, 256)), 1, 16))
