@@ -2,10 +2,11 @@
 
 Two small collections of 16 keys, each of two MinHash values, are made from 64 hash functions. The 256 tables are their
 pairs: texts meet in table (i, j) if key i of the first and key j of the second collection agree. Making the tables'
-512 pairs of values one by one would take sixteen times as many hash functions. Texts meet in some table just when they
-agree on a key of each collection, so the first collection's keys deal texts to buckets, and the second's are compared
-inside. A pair at the threshold of 0.8 fails to meet with probability 2 * 0.36**16 = 1.6e-7; pairs whose 64 values agree
-in fewer than 33 places are not verified (at 0.8 that has a probability below 1e-6). Links are confirmed on full sets.
+512 pairs of values one by one would take sixteen times as many hash functions. A table key is formed in two steps: texts
+are dealt to buckets by the first key, and those of a bucket that isn't alone to cells by the second, inside the task. Only
+texts of one cell are compared; hot buckets go by their rarest shingles instead, which loses no link at all. A pair at the threshold of 0.8 fails to
+meet with probability 2 * 0.36**16 = 1.6e-7; pairs whose 64 values agree in fewer than 33 places are not verified (at 0.8
+that has a probability below 1e-6). Links are confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -18,16 +19,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import Rolling, hash_words, mix, pick, shuffle_partitions, staged, text_bytes
+from attesta.llm.common import Rolling, binaries, hash_words, mix, pick, shuffle_partitions, staged, text_bytes
 from attesta.llm.components import components
 
 KEYS, WIDTH = 16, 2
 N_HASHES = 2 * KEYS * WIDTH
 LEAST_AGREEING = 33
-#: A bucket of more texts is confirmed against one of them first.
-LED = 16 * 1024
-#: A bucket of more texts, or with more shingles in their sets, is compared in blocks of about so many.
-BLOCK, BLOCK_HASHES = 1024, 4_000_000
+#: A bucket or cell of more texts, or with more shingles in their sets, is hot; a task compares about so many.
+BLOCK, BLOCK_HASHES = 256, 1_000_000
+#: How often the texts of a hot bucket are first compared with one central text that isn't connected yet to most of them.
+LED = 4
+#: Shingles that more than one in so many (and more than so few) of the open texts' shingles are, are frequent; there are
+#: at most so many.
+COMMON, COMMON_LEAST = 100_000, 8
+#: Texts of a bucket whose second keys are compared at once.
+FEW = 48
 _SEED = np.arange(1, N_HASHES + 1, dtype=np.uint64)
 MULTIPLY, ADD = mix(_SEED * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1), mix(_SEED * np.uint64(0xD1B54A32D192ED03))
 
@@ -88,57 +94,104 @@ def _sets(words_each: int):
     return run
 
 
-def _meeting(sig: np.ndarray, n: np.ndarray, rows: slice, i: int, percent: int) -> np.ndarray:
-    """In how many values each of ``rows`` agrees with each text it meets, and 0 for others: both collections agree,
-    bucket ``i`` is the first in common, sizes allow it."""
-    same = sig[rows, None, :] == sig[None, :, :]
-    pairs = same[:, :, 0::2] & same[:, :, 1::2]
-    met = (pairs[:, :, :KEYS].argmax(2) == i) & pairs[:, :, i] & pairs[:, :, KEYS:].any(2)
-    agree = same.sum(2, dtype=np.uint8)
-    met &= agree >= LEAST_AGREEING
-    small, large = np.minimum(n[rows, None], n[None, :]), np.maximum(n[rows, None], n[None, :])
-    return np.where(met & (100 * small >= percent * large), agree, np.uint8(0))
+def _cells(second: np.ndarray) -> np.ndarray:
+    """Which of some texts of a bucket share a cell: agree on a key of the second collection."""
+    if len(second) <= FEW:
+        return (second[:, None, :] == second[None, :, :]).any(2)
+    met = np.zeros((len(second), len(second)), bool)
+    for j in range(second.shape[1]):
+        order = np.argsort(second[:, j], kind="stable")
+        key = second[order, j]
+        cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b - a > 1:
+                met[np.ix_(order[a:b], order[a:b])] = True
+    return met
 
 
 def _groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[list[tuple]]:
-    """The rows of each bucket block, sorted as they come: (i, x, y, key, n, sig, label, block, a, ...)."""
+    """The rows of each group to compare, sorted as they come."""
     rows: list[tuple] = []
     group = None
     for batch in batches:
         for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
-            if (row[0], row[8], row[1], row[2]) != group:
+            if row[: len(GROUP)] != group:
                 if len(rows) > 1:
                     yield rows
-                group, rows = (row[0], row[8], row[1], row[2]), []
+                group, rows = row[: len(GROUP)], []
             rows.append(row)
     if len(rows) > 1:
         yield rows
 
 
-BLOCK_ROW = ("i", "x", "y", "key", "n", "sig", "label", "block", "a")
-BLOCK_DDL = "i int, x int, y int, key binary, n long, sig binary, label binary, block int, a binary"
+#: A bucket, or the texts with one of their rarest shingles in common (i is -1), and a pair of blocks of it.
+GROUP = ("i", "a", "x", "y")
+BLOCK_ROW = (*GROUP, "key", "n", "sig", "label", "block")
+KEY, LABEL = BLOCK_ROW.index("key"), BLOCK_ROW.index("label")
+BLOCK_DDL = "i int, a binary, x int, y int, key binary, n long, sig binary, label binary, block int"
 BLOCK_SCHEMA = pa.schema([(c, pa.int64() if c == "n" else pa.binary() if c in ("key", "sig", "label", "a") else pa.int32()) for c in BLOCK_ROW])
 
 
 def _apart(rows: list[tuple], percent: int) -> np.ndarray | None:
-    """Agreement of each two texts of a block that may be linked and have different labels, 0 for others."""
-    label = np.unique([r[6] for r in rows], return_inverse=True)[1].reshape(-1)
+    """In how many values each two texts of a group agree that meet here for the first time, may be linked by size and
+    agreement, and have different labels; 0 for others."""
+    i, _, x, y, *_ = rows[0]
+    key, n, sig, label, block = (list(c) for c in zip(*(r[len(GROUP) : len(BLOCK_ROW)] for r in rows), strict=True))
+    label = np.unique(label, return_inverse=True)[1].reshape(-1)
     if label.max() == 0:
         return None
-    n, block = np.array([r[4] for r in rows]), np.array([r[7] for r in rows])
-    sig = np.frombuffer(b"".join(r[5] for r in rows), np.uint32).reshape(len(rows), -1)
-    m, step, cross = len(rows), max(1, 4_000_000 // (len(rows) * N_HASHES)), rows[0][1] != rows[0][2]
-    near = np.zeros((m, m), np.uint8)
-    for s in range(0, m, step):
-        part = slice(s, min(m, s + step))
-        got = _meeting(sig, n, part, rows[0][0], percent)
-        got[label[part, None] == label[None, :]] = 0
-        if cross:
-            got[block[part, None] == block[None, :]] = 0
-        near[part] = got
+    n, block = np.array(n), np.array(block)
+    sig = np.frombuffer(b"".join(sig), np.uint32).reshape(len(rows), -1)
+    keys = np.ascontiguousarray(sig).view(np.uint64)
+    met = np.triu(_cells(keys[:, KEYS:]) if i >= 0 else np.ones((len(rows), len(rows)), bool), 1)
+    p, q = np.nonzero(met & (label[:, None] != label[None, :]))
+    near = np.zeros((len(rows), len(rows)), np.uint8)
+    for at in range(0, len(p), 100_000):
+        a, b = p[at : at + 100_000], q[at : at + 100_000]
+        small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+        here = (100 * small >= percent * large) & ~(keys[a, : max(i, 0)] == keys[b, : max(i, 0)]).any(1)
+        if x != y:
+            here &= block[a] != block[b]
+        a, b = a[here], b[here]
+        agree = (sig[a] == sig[b]).sum(1, dtype=np.uint8)
+        agree[agree < LEAST_AGREEING] = 0
+        near[a, b] = near[b, a] = agree
     return near
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many of a batch's sets hold each shingle."""
+    for batch in batches:
+        h, n = np.unique(np.frombuffer(b"".join(batch.column("hashes").to_pylist()), np.uint64), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], names=["h", "n"])
+
+
+def _rare_first(frequent, percent: int):
+    """The first shingles of each set, frequent ones last: two sets of the wanted similarity have one of them in common.
+
+    Of a set of n, the link needs at least ceil(n * percent / 100) in common, so any other number of them than the rest
+    and one more can't miss all; the order is the same for all sets.
+    """
+    schema = pa.schema([("a", pa.binary()), ("key", pa.binary()), ("n", pa.int64()), ("label", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = frequent.value
+        for batch in batches:
+            keys, labels = batch.column("key").to_pylist(), batch.column("label").to_pylist()
+            some, n = [], []
+            for raw in batch.column("hashes").to_pylist():
+                h = np.frombuffer(raw, np.uint64)
+                last = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h if len(common) else np.zeros(len(h), bool)
+                some.append(np.concatenate([h[~last], h[last]])[: len(h) + (-percent * len(h)) // 100 + 1])
+                n.append(len(h))
+            times = [len(x) for x in some]
+            every = np.concatenate(some)
+            columns = [pa.array(v, t).take(pa.array(np.repeat(np.arange(len(times)), times))) for v, t in ((keys, pa.binary()), (n, pa.int64()), (labels, pa.binary()))]
+            yield pa.RecordBatch.from_arrays([binaries(every, np.arange(len(every) + 1)), *columns], schema=schema)
+
+    return run
+
+
 def _forest(percent: int):
     """A spanning forest of each block's candidates, rooted at the most central texts (largest sum of agreeing values),
     which are the likeliest originals of a group of near copies."""
@@ -162,7 +215,7 @@ def _forest(percent: int):
                     a = todo.pop()
                     fresh = np.flatnonzero((near[a] > 0) & left)
                     left[fresh] = False
-                    out += [(rows[a][3], rows[b][3]) for b in fresh]
+                    out += [(rows[a][KEY], rows[b][KEY]) for b in fresh]
                     todo += fresh[np.argsort(central[fresh])].tolist()
             if out:
                 yield _two(out, schema)
@@ -177,7 +230,7 @@ def _undecided(percent: int):
         for rows in _groups(batches, BLOCK_ROW):
             near = _apart(rows, percent)
             if near is not None and near.any():
-                some = [r for r, any_ in zip(rows, near.any(1), strict=True) if any_]
+                some = [r[: len(BLOCK_ROW)] for r, any_ in zip(rows, near.any(1), strict=True) if any_]
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*some, strict=True), BLOCK_SCHEMA, strict=True)], schema=BLOCK_SCHEMA)
 
     return run
@@ -195,11 +248,11 @@ def _settled(percent: int):
             near = _apart(rows, percent)
             if near is None:
                 continue
-            size = np.array([len(r[9]) // 8 for r in rows])
-            every, place = np.unique(np.frombuffer(b"".join(r[9] for r in rows), np.uint64), return_inverse=True)
+            size = np.array([len(r[-1]) // 8 for r in rows])
+            every, place = np.unique(np.frombuffer(b"".join(r[-1] for r in rows), np.uint64), return_inverse=True)
             ends = np.cumsum(size)
             where = [place[e - s : e] for s, e in zip(size, ends, strict=True)]
-            tree = np.unique([r[6] for r in rows], return_inverse=True)[1].reshape(-1)
+            tree = np.unique([r[LABEL] for r in rows], return_inverse=True)[1].reshape(-1)
             mark, out = np.zeros(len(every), bool), []
             for a in range(len(rows) - 1):
                 b = a + 1 + np.flatnonzero((near[a, a + 1 :] > 0) & (tree[a + 1 :] != tree[a]))
@@ -210,7 +263,7 @@ def _settled(percent: int):
                 mark[where[a]] = False
                 for k in b[100 * both >= percent * (size[a] + size[b] - both)]:
                     if tree[k] != tree[a]:
-                        out.append((rows[a][3], rows[k][3]))
+                        out.append((rows[a][KEY], rows[k][KEY]))
                         tree[tree == tree[k]] = tree[a]
             if out:
                 yield _two(out, schema)
@@ -243,10 +296,14 @@ def labelled(docs: DataFrame, words_each: int, percent: int, id_col: str, text_c
 
     Links documents whose shingle sets have a Jaccard similarity of ``percent`` or more and labels the components.
 
-    Texts with equal sets are one class and are handled once. Buckets propose a spanning forest of candidates, which is
-    confirmed on full sets; components that this joins need no further comparison; candidates that are still apart are
-    compared on full sets inside their bucket, so no link between different texts is lost and no list of pairs is made. A very large bucket is first confirmed against one of its texts, and if that doesn't join
-    it, compared in blocks of texts, a task for each pair of blocks.
+    Texts with equal sets are one class and are handled once. The cells of ordinary buckets propose a spanning forest of
+    candidates, which is confirmed on full sets; components that this joins need no further comparison; candidates that
+    are still apart are compared on full sets inside their bucket, so no link between different texts is lost and no list
+    of pairs is made. The texts of a hot bucket are first compared with a central one, as long as that joins some (``LED``
+    times at most). Those of buckets that aren't joined then meet by a prefix filter: each by its rarest shingles, of which
+    two linked texts have one in common, so a crowd that shares a passage and no more costs nothing. If so many have one
+    of them in common that a task can't compare them, they are compared in blocks, of which those of texts that are
+    connected with most of the group meet only the others.
 
     ``key`` is null for texts without words; ``root`` names the component, ``component`` is its least id.
     """
@@ -258,55 +315,96 @@ def labelled(docs: DataFrame, words_each: int, percent: int, id_col: str, text_c
     nodes = staged(sketches.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig")), "minhash-classes")
 
     size = 4 * WIDTH
-    firsts = F.array(*[F.struct(F.lit(i).alias("i"), F.substring("sig", i * size + 1, size).alias("a")) for i in range(KEYS)])
-    dealt = nodes.select("key", "n", F.explode(firsts).alias("f")).select("key", "n", "f.i", "f.a")
+    value = lambda k: F.substring("sig", k * size + 1, size)
+    dealt = nodes.select("key", "n", F.posexplode(F.array(*[value(i) for i in range(KEYS)])).alias("i", "a"))
     shared = dealt.groupBy("i", "a").agg(F.count("*").alias("count"), F.sum("n").alias("hashes")).where("count > 1")
     bucketed = staged(dealt.drop("n").join(shared, ["i", "a"]), "minhash-shared")
-    links, label = None, None
+    label = None
 
     def sets_of(keys: DataFrame) -> DataFrame:
         wanted = keys.distinct().join(nodes.select("key", "least"), "key")
         return staged(d.join(wanted, d["doc_id"].eqNullSafe(wanted["least"])).select("key", "text").mapInArrow(_sets(words_each), "key binary, hashes binary").dropDuplicates(["key"]), "minhash-sets")
 
     def add(sure: DataFrame) -> None:
-        nonlocal links, label
-        links = sure if links is None else links.unionByName(sure)
-        label = components(links)
-
-    def confirm(pairs: DataFrame) -> None:
-        sets = sets_of(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))))
+        """Takes in confirmed links: only those between components are looked at, by the roots of their ends."""
+        nonlocal label
+        if label is None:
+            label = components(sure) if sure.head(1) else None
+            return
+        root = lambda side: label.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
+        between = sure.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where("a <> b")
+        between = staged(between, "minhash-between")
+        if not between.head(1):
+            return
+        up = components(between).select(F.col("node").alias("root"), F.col("root").alias("up"))
+        moved = label.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
+        fresh = up.select(F.col("root").alias("node"), F.col("up").alias("root")).join(label, "node", "left_anti")
+        label = staged(moved.unionByName(fresh), "minhash-labels")
+
+    def confirm(pairs: DataFrame, sets: DataFrame | None = None) -> int:
+        """Takes in the pairs that are links; how many these are."""
+        if sets is None:
+            sets = sets_of(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))))
         sides = pairs.join(sets.select(F.col("key").alias("a"), F.col("hashes").alias("sa")), "a").join(sets.select(F.col("key").alias("b"), F.col("hashes").alias("sb")), "b")
-        add(staged(sides.mapInArrow(_confirmed(percent), "a binary, b binary"), "minhash-links"))
+        sure = staged(sides.mapInArrow(_confirmed(percent), "a binary, b binary"), "minhash-links")
+        add(sure)
+        return sure.count()
 
     def labels(rows: DataFrame) -> DataFrame:
         if label is None:
             return rows.withColumn("label", F.col("key"))
         return rows.join(label, F.col("key") == F.col("node"), "left").withColumn("label", F.coalesce("root", "key")).drop("node", "root")
 
-    large = bucketed.where(F.col("count") > LED)
-    if large.head(1):
-        leaders = large.groupBy("i", "a").agg(F.min("key").alias("leader"))
-        led = large.join(leaders, ["i", "a"]).where("key <> leader").groupBy("key").agg(F.min("leader").alias("leader"))
-        confirm(staged(led.select(F.col("leader").alias("a"), F.col("key").alias("b")), "minhash-led"))
-        joined = labels(large).groupBy("i", "a").agg((F.min("label") == F.max("label")).alias("joined")).where("joined")
-        bucketed = bucketed.join(joined, ["i", "a"], "left_anti")
-
-    blocks = F.ceil(F.greatest(F.col("count") / BLOCK, F.col("hashes") / BLOCK_HASHES)).cast("int")
-    met = bucketed.select("key", "i", "a", blocks.alias("blocks"))
-    met = met.join(nodes.select("key", "n", "sig"), "key").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = staged(met.select("key", "n", "sig", "i", "a", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")), "minhash-buckets")
-
-    def by_block(rows: DataFrame) -> DataFrame:
-        return rows.repartition(n_parts, "i", "a", "x", "y").sortWithinPartitions("i", "a", "x", "y", "key")
-
-    pairs = staged(by_block(labels(met)).mapInArrow(_forest(percent), "a binary, b binary").distinct(), "minhash-forest")
+    is_hot = (F.col("count") > BLOCK) | (F.col("hashes") > BLOCK_HASHES)
+    in_tasks = bucketed.where(~is_hot).select("key", "i", "a", F.lit(0).alias("block"), F.lit(0).alias("x"), F.lit(0).alias("y"))
+    hot = bucketed.where(is_hot)
+    if hot.head(1):
+        central = hot.groupBy("key").agg(F.sum("count").alias("central"))  # originals share more buckets than their copies do
+        hot = staged(hot.select("key", "i", "a").join(central, "key"), "minhash-hot")
+        sets = sets_of(hot.select("key"))
+        for turn in range(LED):
+            rows = staged(labels(hot), "minhash-hot-labels")
+            sizes = rows.groupBy("i", "a", "label").agg(F.count("*").alias("c"), F.max(F.struct("central", "key")).alias("top"))
+            most = sizes.groupBy("i", "a").agg(F.max(F.struct("c", "label"))["label"].alias("most"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
+            leaders = sizes.join(most, ["i", "a"]).where(F.lit(turn == 0) | (F.col("label") != F.col("most"))).groupBy("i", "a").agg(F.max(F.struct("top", "label")).alias("l"))
+            pairs = rows.join(leaders, ["i", "a"]).where(F.col("label") != F.col("l.label")).select(F.col("l.top.key").alias("a"), F.col("key").alias("b"))
+            pairs = staged(pairs.distinct(), "minhash-led")
+            if confirm(pairs, sets) * 20 < pairs.count():
+                break
+        rows = staged(labels(hot), "minhash-hot-labels")
+        open_ = rows.groupBy("i", "a").agg((F.min("label") < F.max("label")).alias("open")).where("open").drop("open")
+        wanted = rows.join(open_, ["i", "a"]).select("key", "label").distinct()
+        pieces = staged(wanted.join(sets, "key"), "minhash-open")
+        tokens = pieces.select("hashes").mapInArrow(_counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+        tokens = staged(tokens, "minhash-open-shingles")
+        total = tokens.agg(F.sum("n")).first()[0] or 0
+        common = tokens.where(F.col("n") > max(COMMON_LEAST, total // COMMON)).select("h").collect()  # COMMON shingles at most
+        frequent = spark.sparkContext.broadcast(np.sort(np.array([r["h"] for r in common], np.int64).view(np.uint64)))
+        firsts = staged(pieces.mapInArrow(_rare_first(frequent, percent), "a binary, key binary, n long, label binary"), "minhash-rare")
+        parts = firsts.groupBy("a", "label").agg(F.count("*").alias("c"), F.sum("n").alias("h"))
+        groups = parts.groupBy("a").agg(F.sum("c").alias("count"), F.sum("h").alias("hashes"), F.max(F.struct("c", "h", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1")
+        blocks = lambda c, h: F.ceil(F.greatest(c / BLOCK, h / BLOCK_HASHES)).cast("int")
+        one = (F.col("count") <= BLOCK) & (F.col("hashes") <= BLOCK_HASHES)
+        dealt_ = firsts.drop("n").join(groups, "a")
+        dealt_ = dealt_.withColumn("mine", F.when(one, 0).otherwise(blocks(F.col("m.c"), F.col("m.h")))).withColumn("main", ~one & (F.col("label") == F.col("m.label")))
+        dealt_ = dealt_.withColumn("others", F.when(one, 1).otherwise(blocks(F.col("count") - F.col("m.c"), F.col("hashes") - F.col("m.h"))))
+        at = F.pmod(F.xxhash64("key"), F.when(F.col("main"), F.col("mine")).otherwise(F.col("others"))).cast("int") + F.when(F.col("main"), 0).otherwise(F.col("mine"))
+        to = F.explode(F.sequence(F.when(F.col("main"), F.col("mine")).otherwise(0), F.col("mine") + F.col("others") - 1))
+        dealt_ = dealt_.withColumn("block", at).withColumn("other", to)
+        in_tasks = in_tasks.unionByName(dealt_.select("key", F.lit(-1).alias("i"), "a", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")))
+
+    met = staged(in_tasks.join(nodes.select("key", "n", "sig"), "key"), "minhash-buckets")
+
+    def by_group(rows: DataFrame) -> DataFrame:
+        return rows.repartition(n_parts, *GROUP).sortWithinPartitions(*GROUP, "key")
+
+    pairs = staged(by_group(labels(met)).mapInArrow(_forest(percent), "a binary, b binary").distinct(), "minhash-forest")
     if pairs.head(1):
         confirm(pairs)
-        open_ = staged(by_block(labels(met).select(*BLOCK_ROW)).mapInArrow(_undecided(percent), BLOCK_DDL), "minhash-undecided")
+        open_ = staged(by_group(labels(met).select(*BLOCK_ROW)).mapInArrow(_undecided(percent), BLOCK_DDL), "minhash-undecided")
         if open_.head(1):
             full = open_.join(sets_of(open_.select("key")), "key")
-            add(staged(by_block(full).mapInArrow(_settled(percent), "a binary, b binary"), "minhash-settled"))
+            add(staged(by_group(full).mapInArrow(_settled(percent), "a binary, b binary"), "minhash-settled"))
 
     if label is None:
         groups = nodes.select("key", F.col("key").alias("root"), F.col("least").alias("component"))
