@@ -123,43 +123,68 @@ def edited_likeness(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out.drop("copy")
 
 
-def within(fps: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
-    """All pairs of different fingerprints (long column ``fingerprint``) at Hamming distance ``radius`` or less.
-
-    The 64 bits are cut into ``blocks``; two fingerprints within the radius agree on some ``blocks - radius`` of them, so
-    there is a table for each such choice, keyed by the bits of the chosen blocks. A pair is taken from the first table
-    in which it meets. Works on distinct fingerprints, so copies add nothing. A bucket of more than ``BUCKET`` is dealt
-    into parts, and each pair of parts is a row of its own; only pairs within the radius leave it. Returns
-    ``a, b, distance`` with a < b.
-    """
+def _tables(radius: int, blocks: int) -> list[int]:
+    """Masks of the block tables: two fingerprints within the radius agree on the bits of one mask at least."""
     if not 0 <= radius < blocks <= 64:
         raise ValueError("0 <= radius < blocks <= 64")
     cuts = [64 * i // blocks for i in range(blocks + 1)]
     masks = [((1 << (cuts[i + 1] - cuts[i])) - 1) << cuts[i] for i in range(blocks)]
     signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
-    choices = [signed(sum(masks[i] for i in c)) for c in combinations(range(blocks), blocks - radius)]
-    d = fps.select(F.col("fingerprint").alias("fp")).where("fingerprint is not null").distinct()
-    keyed = d.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in choices])).alias("t", "key"))
-    shared = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    met = keyed.join(shared, ["t", "key"]).withColumn("parts", F.ceil(F.col("n") / BUCKET).cast("int")).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    return [signed(sum(masks[i] for i in c)) for c in combinations(range(blocks), blocks - radius)]
+
+
+def _cells(each: DataFrame, masks: list[int], *payload: str) -> DataFrame:
+    """``t, key, x, y, p, q``: for each table, key and pair of parts of its bucket, the fingerprints of both parts (structs
+    of ``fp`` and the payload). A bucket of more than ``BUCKET`` is dealt into parts."""
+    keyed = each.select("fp", *payload, F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in masks])).alias("t", "key"))
+    shared = keyed.groupBy("t", "key").agg(F.count("*").alias("n_")).where("n_ > 1")
+    met = keyed.join(shared, ["t", "key"]).withColumn("parts", F.ceil(F.col("n_") / BUCKET).cast("int")).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("x", F.least("part", "other")).withColumn("y", F.greatest("part", "other"))
-    cells = met.groupBy("t", "key", "x", "y").agg(F.collect_list(F.when(F.col("part") == F.col("x"), F.col("fp"))).alias("p"), F.collect_list(F.when(F.col("part") == F.col("y"), F.col("fp"))).alias("q"))
-    near = lambda a, b: (F.bit_count(a.bitwiseXOR(b)) <= radius) & ((F.col("x") < F.col("y")) | (a < b))
-    pairs = F.flatten(F.transform("p", lambda a: F.transform(F.filter("q", lambda b: near(a, b)), lambda b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")))))
-    found = cells.select("t", F.inline(pairs))
-    x = F.col("a").bitwiseXOR(F.col("b"))
-    first = F.array_position(F.array(*[(x.bitwiseAND(F.lit(m).cast("long"))) == 0 for m in choices]), F.lit(True)) - 1
-    return found.where(first == F.col("t")).select("a", "b", F.bit_count(x).cast("int").alias("distance"))
+    side = lambda c: F.collect_list(F.when(F.col("part") == F.col(c), F.struct("fp", *payload)))  # noqa: E731  2 * BUCKET or so at most
+    return met.groupBy("t", "key", "x", "y").agg(side("x").alias("p"), side("y").alias("q"))
+
+
+def _meets(a: Column, b: Column, masks: list[int], radius: int) -> Column:
+    """Whether two different fingerprints are within the radius, and this table ``t`` is the first in which they meet."""
+    x = a["fp"].bitwiseXOR(b["fp"])
+    first = F.array_position(F.array(*[(x.bitwiseAND(F.lit(m).cast("long"))) == 0 for m in masks]), F.lit(True)) - 1
+    return (F.bit_count(x) <= radius) & (x != 0) & (first == F.col("t"))
 
 
-def neighbours(docs: DataFrame, radius: int = 3, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def within(fps: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
+    """All pairs of different fingerprints (long column ``fingerprint``) at Hamming distance ``radius`` or less.
+
+    The 64 bits are cut into ``blocks``; two fingerprints within the radius agree on some ``blocks - radius`` of them, so
+    there is a table for each such choice, keyed by the bits of the chosen blocks. A pair is taken from the first table
+    in which it meets. Works on distinct fingerprints, so copies add nothing; nulls have none. Returns ``a, b, distance``
+    with a < b; ``neighbours`` counts without a list of pairs.
+    """
+    masks = _tables(radius, blocks)
+    cells = _cells(fps.select(F.col("fingerprint").alias("fp")).where("fp is not null").distinct(), masks)
+    ordered = F.col("x") < F.col("y")
+    pairs = F.flatten(F.transform("p", lambda a: F.transform(F.filter("q", lambda b: (ordered | (a["fp"] < b["fp"])) & _meets(a, b, masks, radius)), lambda b: F.struct(F.least(a["fp"], b["fp"]).alias("a"), F.greatest(a["fp"], b["fp"]).alias("b")))))
+    return cells.select(F.inline(pairs)).select("a", "b", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).cast("int").alias("distance"))
+
+
+def neighbours(docs: DataFrame, radius: int = 3, blocks: int = 6, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fingerprint, n_within, least_id`` of each row: how many other rows' fingerprints lie within the radius,
     and the least id among those and its own. Every row is searched for; equal fingerprints count too.
+
+    Distinct fingerprints carry their number of rows and least id through the block tables, and each bucket sums what
+    every fingerprint of it finds there, so no pair leaves its bucket.
     """
+    masks = _tables(radius, blocks)
     fps = staged(fingerprints(docs, id_col=id_col, text_col=text_col), "simhash-searched")
-    each = fps.groupBy("fingerprint").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"))
-    pairs = staged(within(fps, radius), "simhash-pairs")
-    both = pairs.select(F.col("a").alias("of"), F.col("b").alias("fingerprint")).unionByName(pairs.select(F.col("b").alias("of"), F.col("a").alias("fingerprint")))
-    others = both.join(each, "fingerprint").groupBy("of").agg(F.sum("n").alias("more"), F.min("least").alias("near")).withColumnRenamed("of", "fingerprint")
-    groups = each.join(others, "fingerprint", "left").select("fingerprint", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_within"), F.least("least", "near").alias("least_id"))
-    return fps.join(groups, "fingerprint").select("doc_id", as_string(F.col("fingerprint")).alias("fingerprint"), "n_within", "least_id")
+    each = staged(fps.groupBy(F.col("fingerprint").alias("fp")).agg(F.count("*").alias("n"), F.min("doc_id").alias("least")), "simhash-distinct")
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("least"))
+    add = lambda s, b: F.struct((s["n"] + b["n"]).alias("n"), F.least(s["least"], b["least"]).alias("least"))
+
+    def found(side: str, other: str) -> Column:
+        some = F.transform(side, lambda a: F.struct(a["fp"].alias("fp"), F.aggregate(F.filter(other, lambda b: _meets(a, b, masks, radius)), start, add).alias("s")))
+        return F.filter(some, lambda r: r["s"]["n"] > 0)
+
+    none = F.array().cast("array<struct<fp:bigint,s:struct<n:bigint,least:bigint>>>")
+    sums = _cells(each, masks, "n", "least").select(F.inline(F.concat(found("p", "q"), F.when(F.col("x") < F.col("y"), found("q", "p")).otherwise(none))))
+    others = sums.groupBy("fp").agg(F.sum("s.n").alias("more"), F.min("s.least").alias("near"))
+    groups = each.join(others, "fp", "left").select("fp", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_within"), F.least("least", "near").alias("least_id"))
+    return fps.join(groups, fps["fingerprint"] == groups["fp"]).select("doc_id", as_string(F.col("fingerprint")).alias("fingerprint"), "n_within", "least_id")
