@@ -9,18 +9,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import mixing, neardup, pieces, quality, substring
+from attesta.llm import common, mixing, neardup, pieces, quality, substring
 from attesta.llm.queries import PIECE_MODEL, TARGETS, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that fail the quality rules go; nulls and texts under fifty words are among them."""
     return quality.keep_good(docs).select(*COLUMNS)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles, similarity 0.8."""
+    """Five-word shingles, similarity 0.8; the document of least id stays, nulls last, and rows equal in id and text count as
+    one."""
     return neardup.deduplicated(docs, 5, 80).select(*COLUMNS)
 
 
@@ -31,11 +33,13 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """No document is lost: those of languages below their target come more than once."""
+    """No document is lost: those of languages below their target come more than once. Rows equal in id and text share a rate,
+    a text without words has the prior's."""
     return mixing.mixed_rows(docs, table(spark, sf_dir, "labels"), TARGETS, keep_all=True).select(*COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each row; a null or empty text has no pieces."""
     return pieces.encode(docs, PIECE_MODEL).select("doc_id", "ids", "n_pieces", "ids_sha256", "round_trip")
 
 
@@ -51,7 +55,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages on ``documents``. Each stage's rows are written to the shared folder, as the next one reads them several
+    times; what it needed on the way, and its input, is deleted then.
+
+    A document with a null id is treated like any other; null and empty texts fail the quality rules, so they go there.
+    Ties in near-duplicates go to the least id. An empty table gives no rows.
+    """
+    docs, before = table(spark, sf_dir, "documents"), []
+    for name, stage in STAGES[:-1]:
+        with common.scratch(spark) as keep:
+            docs = keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        common.delete(spark, before)
+        before = common.last_staged()
+    return STAGES[-1][1](spark, docs, sf_dir)
