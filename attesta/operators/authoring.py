@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,27 +64,41 @@ def candidates(pages: DataFrame, *, id_col: str, text_col: str, spread: int | No
     return d.select("page_id", "i", "sentence")
 
 
-def mixed(a: Column, others: Column, page: Column, grams: Column) -> Column:
-    """Sentence ``a`` joined with the negated first clause of the first of ``others`` that will do, or null.
+def first_made(items: Column, n: int, make: Callable[[Column], Column], kind: str) -> Column:
+    """The first ``n`` values of SQL type ``kind`` that ``make`` gives for the items; nulls don't count. No item after the
+    last one needed is looked at."""
+    add = lambda some, v: F.when(v.isNotNull(), F.concat(some, F.array(v))).otherwise(some)
+    return F.aggregate(items, F.array().cast(f"array<{kind}>"), lambda some, x: F.when(F.size(some) >= n, some).otherwise(T.let(make(x), lambda v: add(some, v))))
 
-    The clause needs five words; the negated wording and the joined claim mustn't be in the page (``grams`` are its runs
-    of six tokens); ``a`` must share such a run with it.
-    """
-    bare = lambda s: F.regexp_replace(T.strip(s), r"\.+$", "")
 
-    def joined(s: Column) -> Column:
-        def with_clause(v: Column) -> Column:
-            clause = v["clause"]
-            claim = F.concat(bare(a), F.lit(", and "), F.lower(F.substring(clause, 1, 1)), F.substring(clause, F.lit(2), F.length(clause)), F.lit("."))
-            absent = ~F.arrays_overlap(T.crossing_ngrams(v["neg"]["claim"], v["neg"]["edit"]), grams)
-            ok = v["neg"].isNotNull() & (F.size(F.split(clause, T.SPACES)) >= 5) & absent
-            return F.when(ok, T.let(claim, lambda c: F.when(~F.contains(page, c), c)))
+def _bare(sentence: Column) -> Column:
+    return F.regexp_replace(T.strip(sentence), r"\.+$", "")
+
+
+def false_clauses(sentences: Column, grams: Column) -> Column:
+    """``array<struct<at, sentence, clause>>``: the negated first clause of each sentence that has one of five words whose
+    negated wording isn't in the page (``grams`` are its runs of six tokens)."""
+    def one(s: Column, at: Column) -> Column:
+        def judged(neg: Column) -> Column:
+            clause = _bare(F.get(F.split(neg["claim"], ","), F.lit(0)))
+            absent = ~F.arrays_overlap(T.crossing_ngrams(neg["claim"], neg["edit"]), grams)
+            return F.struct(at.alias("at"), s.alias("sentence"), F.when(neg.isNotNull(), T.let(clause, lambda c: F.when((F.size(F.split(c, T.SPACES)) >= 5) & absent, c))).alias("clause"))
+
+        return T.let(negation(s), judged)
+
+    return F.filter(F.transform(sentences, one), lambda x: x["clause"].isNotNull())
+
 
-        made = T.let(negation(s), lambda neg: F.struct(neg.alias("neg"), bare(F.get(F.split(neg["claim"], ","), F.lit(0))).alias("clause")))
-        return F.when(s != a, T.let(made, with_clause))
+def mixed(a: Column, at: Column, clauses: Column, page: Column, grams: Column) -> Column:
+    """Sentence ``a`` joined with the first false clause of another sentence, those after it first, that makes a claim the
+    page lacks, or null. ``a`` itself must share a run of six tokens with the page."""
+    def joined(x: Column) -> Column:
+        clause = x["clause"]
+        claim = F.concat(_bare(a), F.lit(", and "), F.lower(F.substring(clause, 1, 1)), F.substring(clause, F.lit(2), F.length(clause)), F.lit("."))
+        return F.when(x["sentence"] != a, T.let(claim, lambda c: F.when(~F.contains(page, c), c)))
 
-    first = F.get(F.filter(F.transform(others, joined), lambda c: c.isNotNull()), F.lit(0))
-    return F.when(F.arrays_overlap(T.ngrams(bare(a)), grams), first)
+    order = F.concat(F.filter(clauses, lambda x: x["at"] > at), F.filter(clauses, lambda x: x["at"] < at))
+    return F.when(F.arrays_overlap(T.ngrams(_bare(a)), grams), F.get(first_made(order, 1, joined, "string"), F.lit(0)))
 
 
 def authored(pages: DataFrame, *, id_col: str, url_col: str, text_col: str, per_page: int = 7) -> DataFrame:
@@ -90,16 +106,15 @@ def authored(pages: DataFrame, *, id_col: str, url_col: str, text_col: str, per_
     in all; pages with fewer than three cases give none.
 
     ``id, page_id, category, expected_status, labeler_confidence, url, claim``. Everything of a page is in the row of
-    that page, so a page is the unit of work and nothing is shuffled until ids are given out.
+    that page, so a page is the unit of work and nothing is shuffled until ids are given out. Work is linear in sentences.
     """
     p = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(text_col).alias("page"))
     p = p.withColumn("every", F.filter(T.sentences(F.col("page")), authorable)).where(F.size("every") > 0)
     step = F.greatest(F.lit(1), F.floor(F.size("every") / F.lit(max(per_page * 4, 1)))).cast("int")
     p = p.withColumn("step", step).withColumn("picked", F.filter("every", lambda s, i: i % F.col("step") == 0)).withColumn("grams", T.ngrams(F.col("page")))
-    held = lambda claim, edit: ~F.arrays_overlap(T.crossing_ngrams(claim, edit), F.col("grams"))
-    verbatim = F.slice(F.filter("picked", lambda s: F.arrays_overlap(T.ngrams(s), F.col("grams"))), 1, 2)
-    made = F.transform(F.filter("picked", lambda s: negation(s).isNotNull()), negation)
-    negated = F.slice(F.transform(F.filter(made, lambda x: held(x["claim"], x["edit"])), lambda x: x["claim"]), 1, 2)
+    absent = lambda x: ~F.arrays_overlap(T.crossing_ngrams(x["claim"], x["edit"]), F.col("grams"))
+    verbatim = first_made("picked", 2, lambda s: F.when(F.arrays_overlap(T.ngrams(s), F.col("grams")), s), "string")
+    negated = first_made("picked", 2, lambda s: T.let(negation(s), lambda x: F.when(x.isNotNull() & absent(x), x["claim"])), "string")
     p = p.withColumn("low", F.lower("page")).withColumn("free", F.filter(T.literal_array(K.SWAP_NAMES), lambda n: ~F.contains(F.col("low"), F.lower(n))))
     with_name = F.filter("picked", lambda s: F.regexp_instr(s, F.lit(MID_NAME)) > 0)
 
@@ -108,10 +123,10 @@ def authored(pages: DataFrame, *, id_col: str, url_col: str, text_col: str, per_
         head = F.substring(s, F.lit(1), at - 1)
         return F.struct(F.concat(head, name, F.substring(s, at + F.length(old), F.length(s))).alias("claim"), F.size(T.ngram_tokens(head)).alias("edit"))
 
-    swaps = F.filter(F.transform(with_name, swapped), lambda x: x["claim"].isNotNull())
-    swaps = F.slice(F.transform(F.filter(swaps, lambda x: held(x["claim"], x["edit"])), lambda x: x["claim"]), 1, 2)
-    tries = F.transform("picked", lambda s, i: mixed(s, F.concat(F.slice("picked", i + 2, F.size("picked")), F.slice("picked", F.lit(1), i)), F.col("page"), F.col("grams")))
-    both = F.slice(F.filter(tries, lambda c: c.isNotNull()), 1, 1)
+    swaps = first_made(F.transform(with_name, swapped), 2, lambda x: F.when(x["claim"].isNotNull() & absent(x), x["claim"]), "string")
+    p = p.withColumn("clauses", false_clauses(F.col("picked"), F.col("grams")))
+    tries = F.transform("picked", lambda s, i: F.struct(s.alias("s"), i.alias("at")))
+    both = first_made(tries, 1, lambda x: mixed(x["s"], x["at"], F.col("clauses"), F.col("page"), F.col("grams")), "string")
     family = lambda claims, category, status: F.transform(claims, lambda c: F.struct(F.lit(category).alias("category"), F.lit(status).alias("expected_status"), c.alias("claim")))
     cases = F.concat(family(verbatim, "verbatim-supported", K.SUPPORTED), family(negated, "negation-flip", K.UNSUPPORTED), family(swaps, "entity-swap", K.UNSUPPORTED), family(both, "mixed-false-conjunct", K.UNSUPPORTED))
     p = p.withColumn("cases", cases).where(F.size("cases") >= 3).select("page_id", "url", F.slice("cases", 1, per_page).alias("cases"))
