@@ -25,6 +25,15 @@ VERBATIM_MIN_TOKENS = 10
 # Fetching, caching and page use.
 CACHE_HOURS = 24
 RETRY_AFTER_CAP = 30.0
+REQUEST_SECONDS = 5.0
+BACKOFF_SECONDS = (0.5, 1.5)
+RETRIED_STATUSES = (429, 503)
+IN_FLIGHT = 10
+
+# Models and the environment.
+DEFAULT_MODEL = "cross-encoder/nli-deberta-v3-base"
+MODEL_TOKENS = 512
+ENV_MODEL, ENV_CACHE, ENV_ROOTS, ENV_ANY_LOCAL = "ATTESTA_NLI_MODEL", "ATTESTA_CACHE_DIR", "ATTESTA_LOCAL_ROOTS", "ATTESTA_ALLOW_ANY_LOCAL"
 USABLE_PAGE_CHARS = 800
 
 # Word lists.

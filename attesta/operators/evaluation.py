@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta import constants as K
-from attesta.functions.stats import cluster_bootstrap, mcnemar, ratio, wilson
+from attesta.functions.stats import cluster_bootstrap, folded_bootstrap, mcnemar, ratio, wilson
 from attesta.functions.text import normal_status
 from attesta.functions.urls import authority
+from attesta.operators.authoring import numbered
 
 NAN = float("nan")
 
@@ -202,19 +203,23 @@ def best_cells(cells: DataFrame, n: int = 10) -> DataFrame:
     return cells.orderBy(F.desc("agreement"), "swap_false", F.desc("negation_false"), "min_overlap", "margin").limit(n)
 
 
-def bootstrap_interval(records: DataFrame, cases: DataFrame, confidence: float = 0.95, resamples: int = 10_000, seed: int = 0) -> DataFrame:
+def bootstrap_interval(records: DataFrame, cases: DataFrame, confidence: float = 0.95, resamples: int = 10_000, seed: int = 0, walk: bool = False) -> DataFrame:
     """One row: ``n_clusters, low, high`` of accuracy when whole pages are resampled.
 
-    Counts of each cluster are made by Spark, and clusters with equal counts are folded; only the distinct (correct,
-    size) pairs with their frequency reach the driver, which expands them, so cases never do.
+    Counts of each cluster are made by Spark, and clusters with equal (correct, size) are folded; only those kinds with
+    their frequency reach the driver. A resample is one multinomial draw over the kinds, so neither time nor memory grows
+    with the clusters. ``walk`` draws cluster by cluster instead, in the order and with the generator of
+    ``stats.cluster_bootstrap``, for small sets whose published bounds are to be met digit by digit.
     """
     urls = cases.select("id", "url").dropDuplicates(["id"])
     d = graded(records).join(urls, "id", "left").groupBy(F.coalesce("url", "id").alias("cluster")).agg(F.count_if("match").alias("correct"), F.count("*").alias("size"))
-    kinds = d.groupBy("correct", "size").agg(F.count("*").alias("n")).orderBy("correct", "size").collect()
-    hits = [r["correct"] for r in kinds for _ in range(r["n"])]
-    sizes = [r["size"] for r in kinds for _ in range(r["n"])]
-    low, high = cluster_bootstrap(hits, sizes, confidence, resamples, seed)
-    return records.sparkSession.createDataFrame([(len(hits), low, high)], "n_clusters long, low double, high double")
+    kinds = d.groupBy("correct", "size").agg(F.count("*").alias("n")).orderBy("correct", "size").collect()  # a row for each kind
+    if walk:
+        hits, sizes = ([r[c] for r in kinds for _ in range(r["n"])] for c in ("correct", "size"))
+        low, high = cluster_bootstrap(hits, sizes, confidence, resamples, seed)
+    else:
+        low, high = folded_bootstrap([(r["correct"], r["size"], r["n"]) for r in kinds], confidence, resamples, seed)
+    return records.sparkSession.createDataFrame([(sum(r["n"] for r in kinds), low, high)], "n_clusters long, low double, high double")
 
 
 def _imbalance(side: Counter, other: Counter, statuses: list[str]) -> float:
@@ -225,15 +230,18 @@ def _imbalance(side: Counter, other: Counter, statuses: list[str]) -> float:
     return abs(n - m) / (n + m) + sum(abs(share(side, n, s) - share(other, m, s)) for s in statuses)
 
 
-def split_by_url(cases: DataFrame, seed: int = 42) -> DataFrame:
+def split_by_url(cases: DataFrame, seed: int = 42, most_urls: int = 1_000_000) -> DataFrame:
     """``id, url, side``: whole pages dealt to ``tune`` or ``heldout``, each to the side that stays better balanced.
 
-    The walk is sequential, over a status histogram for each page; cases are joined back to their page's side.
+    The walk is sequential, over a status histogram for each page on the driver, so more than ``most_urls`` pages raise;
+    ``stratified_split`` is for sets of any size. Cases are joined back to their page's side.
     """
-    hist = cases.groupBy("url", "expected_status").agg(F.count("*").alias("n")).collect()
+    hist = cases.groupBy("url", "expected_status").agg(F.count("*").alias("n")).limit(8 * most_urls + 1).collect()
     pages: dict[str, Counter] = {}
     for r in hist:
         pages.setdefault(r["url"], Counter())[r["expected_status"]] = r["n"]
+    if len(pages) > most_urls or len(hist) > 8 * most_urls:
+        raise ValueError(f"more than {most_urls} pages: use stratified_split")
     statuses = sorted({s for c in pages.values() for s in c})
     rng = random.Random(seed)
     urls = sorted(pages)
@@ -249,22 +257,42 @@ def split_by_url(cases: DataFrame, seed: int = 42) -> DataFrame:
     return cases.select("id", "url").join(cases.sparkSession.createDataFrame(dealt, "url string, side string"), "url").select("id", "url", "side")
 
 
+def stratified_split(cases: DataFrame, seed: str = "42") -> DataFrame:
+    """``id, url, side`` for sets of any size: pages with the same status histogram are dealt in turn, in an order that a
+    hash of seed and URL gives, so each side gets half of every kind of page. Nothing reaches the driver."""
+    counts = [F.count_if(F.col("expected_status") == s) for s in K.STATUSES]
+    pages = cases.where("url is not null").groupBy("url").agg(F.concat_ws(",", *[c.cast("string") for c in counts]).alias("kind"))
+    order = numbered(pages.withColumn("h", F.md5(F.concat(F.lit(f"{seed}|"), "url"))), "place", "kind", "h", "url")
+    dealt = order.select("url", F.when(F.col("place") % 2 == 0, F.lit("tune")).otherwise(F.lit("heldout")).alias("side"))
+    return cases.select("id", "url").join(dealt, "url").select("id", "url", "side")
+
+
+def partition_problems(split: DataFrame, cases: DataFrame) -> DataFrame:
+    """``problem, what`` of a split that isn't one: cases on no side or on several, sides of unknown cases, pages cut in two."""
+    sides = split.groupBy("id").agg(F.count_distinct("side").alias("n"))
+    met = cases.select("id").distinct().withColumn("known", F.lit(True)).join(sides, "id", "full_outer")
+    problem = F.when(F.col("known").isNull(), F.lit("unknown-case")).when(F.col("n").isNull(), F.lit("case-on-no-side")).when(F.col("n") > 1, F.lit("case-on-both-sides"))
+    cut = split.groupBy("url").agg(F.count_distinct("side").alias("n")).where("n > 1").select(F.lit("page-on-both-sides").alias("problem"), F.col("url").alias("what"))
+    return met.select(problem.alias("problem"), F.col("id").alias("what")).where("problem is not null").unionByName(cut)
+
+
 def partition_summary(split: DataFrame, cases: DataFrame) -> DataFrame:
     """Cases, pages and status counts of each side."""
     d = split.join(cases.select("id", "expected_status"), "id")
     return d.groupBy("side").agg(F.count("*").alias("n_cases"), F.count_distinct("url").alias("n_urls"), *[F.count_if(F.col("expected_status") == s).alias(s) for s in K.VERDICTS])
 
 
-def baselines(cases: DataFrame, tiers: DataFrame | None = None, seed: int = 42) -> DataFrame:
+def baselines(cases: DataFrame, tiers: DataFrame | None = None, seed: int = 42, most_cases: int = 1_000_000) -> DataFrame:
     """Accuracy and Wilson bounds of trivial rules.
 
-    Constant rules come from one status count. The two that draw at random repeat fixed draws over statuses in order of
-    their id, so they take the expected statuses to the driver as one run-length coded list; use ``exact_baselines`` for
-    large sets.
+    Constant rules come from one status count. The two that draw at random repeat a generator's draws over statuses in
+    order of their id, on the driver, so more than ``most_cases`` raise; ``hashed_baselines`` draws by a hash of the id.
     """
     spark = cases.sparkSession
     rows = [(r["name"], r["correct"], r["n"]) for r in exact_baselines(cases, tiers).collect()]
-    expected = [r["expected_status"] for r in cases.select("id", "expected_status").orderBy("id").collect()]
+    if rows and rows[0][2] > most_cases:
+        raise ValueError(f"more than {most_cases} cases: use hashed_baselines")
+    expected = [r["expected_status"] for r in cases.select("id", "expected_status").orderBy("id").collect()]  # most_cases rows
     counts = Counter(expected)
     if expected:
         rng = random.Random(seed)
@@ -285,6 +313,20 @@ def baselines(cases: DataFrame, tiers: DataFrame | None = None, seed: int = 42)
     return _with_bounds(spark.createDataFrame(rows, "name string, correct long, n long"))
 
 
+def hashed_baselines(cases: DataFrame, tiers: DataFrame | None = None, seed: str = "42") -> DataFrame:
+    """``bounded_baselines`` and a rule that draws a status with its share of the set, by a hash of seed and id: for sets of
+    any size, the same whatever the order of rows."""
+    counts = cases.groupBy("expected_status").agg(F.count("*").alias("c"))
+    shares = counts.agg(F.array_sort(F.collect_list(F.struct(F.col("expected_status").alias("s"), "c"))).alias("shares"), F.sum("c").alias("total"))  # a row for each status
+    u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), "id")), 1, 12), 16, 10).cast("double") / float(1 << 48)
+    step = lambda acc, x: F.struct((acc["reach"] + x["c"]).alias("reach"), F.when(acc["said"].isNull() & (F.col("u") < (acc["reach"] + x["c"]) / F.col("total")), x["s"]).otherwise(acc["said"]).alias("said"))
+    start = F.struct(F.lit(0).cast("long").alias("reach"), F.lit(None).cast("string").alias("said"))
+    d = cases.select("expected_status", u.alias("u")).crossJoin(F.broadcast(shares))  # one row
+    said = F.aggregate("shares", start, step)["said"]
+    drawn = d.agg(F.count_if(said == F.col("expected_status")).alias("correct"), F.count("*").alias("n")).select(F.lit("random_by_hash").alias("name"), "correct", "n")
+    return _with_bounds(exact_baselines(cases, tiers).unionByName(drawn))
+
+
 def exact_baselines(cases: DataFrame, tiers: DataFrame | None = None) -> DataFrame:
     """``name, correct, n``: always supported, always unsupported, the majority status and, with tiers (``id,
     tier_reached``), supported just at tier 1. Cases without a tier count as wrong there."""
@@ -313,3 +355,33 @@ def uncertainty(records: DataFrame, cases: DataFrame) -> DataFrame:
     d = graded(records).select("match", scopes).groupBy("scope").agg(F.count_if("match").alias("correct"), F.count("*").alias("total"))
     low, high = wilson(F.col("correct"), F.col("total"))
     return d.withColumn("low", F.bround(low, 4)).withColumn("high", F.bround(high, 4))
+
+
+def uncertainty_block(records: DataFrame, cases: DataFrame, confidence: float = 0.95, resamples: int = 10_000, seed: int = 0) -> DataFrame:
+    """``part, scope, correct, total, low, high`` of one run in one table.
+
+    Parts: ``wilson`` over all records and the safety categories; ``clusters``, the bootstrap over pages, where some page
+    has several records; ``confidence``, agreement by the labeller's confidence (its bounds are Wilson's too).
+    """
+    columns = ("part", "scope", "correct", "total", "low", "high")
+    first = uncertainty(records, cases).withColumn("part", F.lit("wilson")).select(*columns)
+    boot = bootstrap_interval(records, cases, confidence, resamples, seed)
+    overall = agreement(records).select("correct", "total")
+    clusters = boot.crossJoin(overall).where("n_clusters < total").select(F.lit("clusters").alias("part"), F.lit("all").alias("scope"), "correct", "total", F.bround("low", 4).alias("low"), F.bround("high", 4).alias("high"))  # one row each
+    by = confidence_breakdown(records, cases)
+    low, high = wilson(F.col("correct"), F.col("total"))
+    levels = by.select(F.lit("confidence").alias("part"), F.col("labeler_confidence").alias("scope"), "correct", "total", F.bround(low, 4).alias("low"), F.bround(high, 4).alias("high"))
+    return first.unionByName(clusters).unionByName(levels)
+
+
+def throughput(runs: DataFrame, *keys: str) -> DataFrame:
+    """``n_runs, mean_seconds, p50_seconds, pairs_per_second, peak_mb`` of timed runs (``seconds, pairs, peak_mb``)."""
+    d = runs.groupBy(*keys).agg(F.count("*").alias("n_runs"), F.avg("seconds").alias("mean_seconds"), F.median("seconds").alias("p50_seconds"), ratio(F.sum("pairs"), F.sum("seconds")).alias("pairs_per_second"), F.max("peak_mb").alias("peak_mb"))
+    return d
+
+
+def with_dead_links(authored: DataFrame, older: DataFrame, category: str = "dead-link") -> DataFrame:
+    """Authored cases and the dead-link cases of an older set (those whose id isn't taken), in the columns of both."""
+    shared = [c for c in authored.columns if c in older.columns]
+    dead = older.where(F.col("category") == category).join(authored.select("id"), "id", "left_anti")
+    return authored.select(*shared).unionByName(dead.select(*shared))

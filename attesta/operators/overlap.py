@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attesta import constants as K
 from attesta.functions import text as T
+from attesta.sources.staging import frozen
 
 
 def coverage(weights: Column, terms: Column) -> Column:
@@ -77,6 +78,32 @@ def scored_pairs(claims: DataFrame, sources: DataFrame, *, claim_id: str, claim_
     return met.groupBy("claim_id", "source_id", "total").agg(F.sum("weight").alias("hit")).select("claim_id", "source_id", F.bround(F.col("hit") / F.col("total"), 4).alias("score"))
 
 
+def leading_pairs(claims: DataFrame, sources: DataFrame, *, claim_id: str, claim_text: str, source_id: str, source_text: str) -> DataFrame:
+    """Those of ``scored_pairs`` that can be the best of their claim, with exact scores.
+
+    A claim's rarest terms, of more than half its weight, lead: sources are joined by them first. Where the best score so far is
+    above what all other terms together could give, no source without a leading term can win, and of those with one only
+    sources that could still reach the best are looked up for the other terms. So a frequent term, which most sources
+    have, is never joined by itself. Claims of which that can't be said are joined by all their terms.
+    """
+    terms = frozen(exploded_weights(claims, claim_id, claim_text))
+    have = sources.select(F.col(source_id).alias("source_id"), F.explode(T.content_terms(F.col(source_text))).alias("term")).where("source_id is not null")
+    have = frozen(have.join(terms.select("term").distinct(), "term", "left_semi"))
+    often = terms.join(have.groupBy("term").count(), "term", "left").na.fill(0, ["count"])
+    before = F.coalesce(F.sum("weight").over(Window.partitionBy("claim_id").orderBy("count", "term").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))  # a claim's terms
+    dealt = frozen(often.withColumn("leads", before <= F.col("total") / 2).drop("count"))
+    rest = dealt.groupBy("claim_id").agg(F.sum(F.when(~F.col("leads"), F.col("weight")).otherwise(F.lit(0.0))).alias("rest"))
+    some = have.join(dealt.where("leads"), "term").groupBy("claim_id", "source_id", "total").agg(F.sum("weight").alias("hit"))
+    some = frozen(some.join(rest, "claim_id"))
+    score = lambda hit: F.bround(hit / F.col("total"), 4)
+    sure = some.groupBy("claim_id").agg(F.max(score(F.col("hit"))).alias("best"), F.max(score(F.col("rest"))).alias("most")).where("best > most")
+    near = some.join(sure, "claim_id").where(score(F.col("hit") + F.col("rest")) >= F.col("best")).select("claim_id", "source_id", "total", "hit")
+    more = near.join(dealt.where("not leads").select("claim_id", "term", "weight"), "claim_id").join(have, ["source_id", "term"]).select("claim_id", "source_id", "total", F.col("weight").alias("hit"))
+    whole = near.unionByName(more)
+    open_ = have.join(terms.join(sure, "claim_id", "left_anti"), "term").select("claim_id", "source_id", "total", F.col("weight").alias("hit"))
+    return whole.unionByName(open_).groupBy("claim_id", "source_id", "total").agg(F.sum("hit").alias("hit")).select("claim_id", "source_id", score(F.col("hit")).alias("score"))
+
+
 def best_sources(pairs: DataFrame) -> DataFrame:
     """The best source of each claim (the least id on ties), by a partial aggregate rather than a sort."""
     top = pairs.groupBy("claim_id").agg(F.max(F.struct("score", (-F.col("source_id")).alias("back"))).alias("m"))

@@ -37,11 +37,25 @@ def document_reports(verdicts: DataFrame, dropped: DataFrame | None = None) -> D
     return d.select("doc_id", F.to_json(F.struct(*fields)).alias("report"))
 
 
+#: Rows that a report on the driver may hold.
+MOST_ROWS = 100_000
+
+
+def _few(rows: DataFrame) -> list[dict]:
+    got = rows.limit(MOST_ROWS + 1).collect()
+    if len(got) > MOST_ROWS:
+        raise ValueError(f"more than {MOST_ROWS} rows: write them as a table")
+    return [r.asDict(recursive=True) for r in got]
+
+
 def report(verdicts: DataFrame, dropped: DataFrame | None = None, nli_active: bool = False) -> dict:
-    """A run's report as a dict, for small runs: what the command line and the service functions return."""
+    """A run's report as a dict, for small runs: what the command line and the service functions return.
+
+    More than ``MOST_ROWS`` verdicts or dropped markers raise: ``write_report`` and ``document_reports`` are for those.
+    """
     head = rollup(verdicts).first().asDict()
-    rows = [r.asDict() for r in verdicts.orderBy("doc_id", "seq").collect()]
-    lost = [r.asDict() for r in dropped.orderBy("doc_id", "para", "pos").select("marker", "reason", "context").collect()] if dropped is not None else []
+    rows = _few(verdicts.orderBy("doc_id", "seq"))
+    lost = _few(dropped.orderBy("doc_id", "para", "pos").select("marker", "reason", "context")) if dropped is not None else []
     return head | {"verdicts": [{k: v for k, v in r.items() if k not in ("doc_id", "seq", "claim")} for r in rows], "dropped_markers": lost, "nli_active": nli_active, "tiers_reached": max([r["tier_reached"] for r in rows], default=0)}
 
 
@@ -49,13 +63,13 @@ def rendered(result: dict, threshold: float = 0.8, strict: bool = False) -> str:
     """The report for people, in Markdown."""
     lines = [f"# Verification report: {result['total']} citation(s)", f"Entailment tier: {'on' if result['nli_active'] else 'off'}", ""]
     for v in result["verdicts"]:
-        score = f" score={v['score']:.3f}" if isinstance(v["score"], (int, float)) else ""
-        lines.append(f"- {SYMBOLS.get(v['status'], '•')} **[{v['citation_id']}]** {_label(v['status'], strict)}{score} tier={v['tier_reached']} — {v['url']}")
+        score = f", score {v['score']:.3f}" if isinstance(v["score"], (int, float)) else ""
+        lines.append(f"- {SYMBOLS.get(v['status'], '•')} {_label(v['status'], strict)}: citation {v['citation_id']} of <{v['url']}>, tier {v['tier_reached']}{score}")
         lines += [f"  - evidence: {v['evidence']}"] if v["evidence"] else []
         lines += [f"  - note: {n}" for n in v["notes"]]
     if result["dropped_markers"]:
-        lines += ["", f"## Unresolved citation markers ({len(result['dropped_markers'])})", "", "The claims they mark were not verified.", ""]
-        lines += [f"- {d['marker']} — {d['reason']}" for d in result["dropped_markers"]]
+        lines += ["", f"## Claims left out: {len(result['dropped_markers'])} marker(s) lead to no source", ""]
+        lines += [f"- {d['marker']}: {d['reason']}" for d in result["dropped_markers"]]
     count = lambda s: sum(v["status"] == s for v in result["verdicts"])
     lines += ["", "## Summary", "", f"- total: {result['total']}", *[f"- {s}: {count(s)}" for s in K.VERDICTS], f"- unverifiable: {result['unverifiable']}", f"- pass_rate: {result['pass_rate']:.4f}"]
     met = result["pass_rate"] >= threshold
@@ -76,13 +90,16 @@ def exit_status(result: dict, threshold: float = 0.8, strict: bool = False) -> i
 
 
 def evaluation_payload(records: DataFrame, cases: DataFrame, generated_utc: str, set_name: str, nli: bool) -> str:
-    """An evaluation run's result as JSON text: the aggregates, each a few rows, and the records of the set."""
-    table = lambda d: [r.asDict(recursive=True) for r in d.collect()]
+    """An evaluation run's result as JSON text: the aggregates, each a few rows, and the records of the set.
+
+    A set of more than ``MOST_ROWS`` records raises: its records belong in a table.
+    """
+    table = lambda d: [{k: None if v != v else v for k, v in r.items()} for r in _few(d)]  # noqa: E731  JSON has no NaN
     overall = V.agreement(records).first()
     body = {
         "generated_utc": generated_utc, "set": set_name, "nli": nli, "total": overall["total"], "matched": overall["correct"], "agreement_pct": round(100 * overall["agreement"], 2),
         "confusion_matrix": table(V.confusion_matrix(records)), "per_category_recall": table(V.category_recall(records)), "per_status_pr": table(V.status_precision_recall(records)),
-        "uncertainty": table(V.uncertainty(records, cases)), "cluster_bootstrap": table(V.bootstrap_interval(records, cases)), "by_labeler_confidence": table(V.confidence_breakdown(records, cases)), "safety": table(V.safety_rate(records, "negation-flip", "entity-swap")),
+        "uncertainty": table(V.uncertainty(records, cases)), "cluster_bootstrap": table(V.uncertainty_block(records, cases).where("part = 'clusters'")), "by_labeler_confidence": table(V.confidence_breakdown(records, cases)), "safety": table(V.safety_rate(records, "negation-flip", "entity-swap")),
         "records": table(V.graded(records)),
     }
     return json.dumps(body, ensure_ascii=False, indent=2)
