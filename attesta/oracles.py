@@ -89,7 +89,8 @@ p1 as (select key, s, 1 i, cast([] as varchar[]) done, '' buf, '' bef from p0
 passages as materialized (select key, case when buf = '' then done when len(done) > 0 and length(buf) < {K.PASSAGE_MIN_CHARS} then list_append(done[1:len(done) - 1], done[len(done)] || ' ' || buf) else list_append(done, buf) end ps
   from p1 where i = len(s) + 1)"""
 
-CLAIMS_OF_DOCUMENTS = "cd as materialized (select doc_id, d.text, b.text claim from documents d join benchmark b on b.item_id = d.doc_id % 40)"
+ITEMS = "(select *, dense_rank() over (order by item_id) - 1 place, (select count(distinct item_id) from benchmark) n_items from benchmark)"
+CLAIMS_OF_DOCUMENTS = f"cd as materialized (select doc_id, d.text, b.text claim from documents d join {ITEMS} b on b.place = d.doc_id % b.n_items)"
 PAIRS = f"""w as materialized ({weights("benchmark", "item_id", "text")}), t as (select doc_id, unnest({content("text")}) term from documents),
 pairs as (select item_id, doc_id, round_even(sum(weight) / any_value(total), 4) score from t join w using (term) group by item_id, doc_id)"""
 BEST = f"{PAIRS}, best as (select item_id, arg_max(doc_id, (score, -doc_id)) doc_id, max(score) score from pairs group by item_id), v as (select *, {band('score')} status from best)"
@@ -131,12 +132,13 @@ CITED = f"""{RAW}, pt as materialized (select page_id, {html_text('html')} text,
 src as materialized (select 2 * page_id key, text from own union all select 2 * page_id + 1, text from pt),
 {PASSAGES},
 cit as materialized (select p.page_id, p.page_id % 50 <> 1 known, case when p.page_id % 4 = 0 then b.text else ps[1] end claim, case when p.page_id % 4 = 2 then b.text end excerpt
-  from pages p join benchmark b on b.item_id = p.page_id % 40 join passages on key = 2 * p.page_id)"""
+  from pages p join {ITEMS} b on b.place = p.page_id % b.n_items join passages on key = 2 * p.page_id)"""
 
+PAGE_URL = "'http://h' || (doc_id // 10 % 50) || '/' || (doc_id // 10)"
 CASES = f"""cases as materialized (select doc_id::varchar id, ([{quoted(sorted(K.CANONICAL))}])[(doc_id % 12 + 1)::int] category,
   case when toxic = 1 then 'unsupported' when quality = 0 and doc_id % 2 = 0 then 'ambiguous' when quality = 0 then 'unsupported' else 'supported' end expected_status,
-  ([{quoted(K.CONFIDENCES)}])[(doc_id % 3 + 1)::int] labeler_confidence, 'http://' || source || '/' || (doc_id % 2) url, text[1:120] claim, '' notes, text[1:60] sup, 'nothing like this is said anywhere at all' unsup, doc_id, text full_text
-  from labels join documents using (doc_id))"""
+  ([{quoted(K.CONFIDENCES)}])[(doc_id % 3 + 1)::int] labeler_confidence, case when doc_id % 97 = 3 then 'http://lost/' || doc_id else {PAGE_URL} end url, coalesce(s[1], '') claim, '' notes, coalesce(s[-1], '') sup, 'nothing like this is said anywhere at all' unsup, doc_id
+  from (select labels.*, {sentences("coalesce(text, '')")} s from labels join documents using (doc_id)))"""
 
 
 def records(arm: int = 0, name: str = "rec") -> str:
@@ -170,8 +172,17 @@ CANDIDATES = f"""cand as materialized (select doc_id page_id, row_number() over
 NEGATED = "case " + " ".join(f"when instr(sentence, '{a}') > 0 then instr(sentence, '{a}') + {len(a) - 1}" for a in K.AUXILIARIES) + " end"
 SWAP_AT = "length(regexp_extract(s, '^(.*?[a-z] )[A-Z][a-z]{3,}', 1))"
 
+#: Citations with their page (st) and its passages (pp), for the second tier.
+LOCATED = f"""{CITED}, ex as materialized (select page_id, excerpt from cit where excerpt is not null),
+xs as materialized (select page_id as key, {sentences(flat('excerpt'))} s from ex),
+x1 as (select key, s, 1 i, cast([] as varchar[]) done, '' buf from xs union all select key, s, i + 1, case when sp then list_append(done, buf) else done end, case when sp or buf = '' then s[i] else buf || ' ' || s[i] end
+from (select *, buf <> '' and length(buf) + 1 + length(s[i]) > {K.PASSAGE_MAX_CHARS} sp from x1 where i <= len(s))),
+xp as (select key, case when len(done) > 0 and length(buf) < {K.PASSAGE_MIN_CHARS} then list_append(done[1:len(done) - 1], done[len(done)] || ' ' || buf) else list_append(done, buf) end ps from x1 where i = len(s) + 1),
+st as materialized (select cit.page_id, case when known then t1 else 'unreachable' end t1, excerpt is not null or length(text) >= {K.MIN_PAGE_CHARS} located, coalesce(excerpt, text) target, claim from cit join pt using (page_id)),
+pp as materialized (select st.page_id, coalesce(xp.ps, ps2.ps) ps from st left join xp on xp.key = st.page_id left join passages ps2 on ps2.key = 2 * st.page_id + 1)"""
+
 I = "doc_id::varchar"
-CASE_PAGES = "pool as materialized (select url, k % 13 <> 1 ok, case when k % 11 <> 2 then t end text from (select url, arg_min(full_text, doc_id) t, min(doc_id) k from cases group by url) where k % 17 <> 3)"
+CASE_PAGES = f"pool as materialized (select url, k % 13 <> 1 ok, case when k % 11 <> 2 then t end text from (select {PAGE_URL} url, string_agg(text, chr(10) order by doc_id) t, min(doc_id) k from documents group by 1))"
 
 
 def shingles(x: str) -> str:
@@ -257,13 +268,7 @@ t as (select doc_id, string_agg(x, ' ' order by i) clip from (select *, row_numb
         "json_citations": """select item_id::varchar doc_id, 0 seq, 'c1' citation_id, 'http://s/' || item_id url, text claim, null::varchar excerpt from benchmark
             union all select item_id::varchar, 1, 'c2', './p/' || item_id, 'x', 'quoted' from benchmark""",
         "verdicts_tier1": f"with {RAW} select page_id::varchar doc_id, case when page_id % 50 = 1 then 'unreachable' else {TIER1} end status, 1 tier_reached from raw",
-        "verdicts": f"""with recursive {CITED}, ex as materialized (select page_id, excerpt from cit where excerpt is not null),
-            xs as materialized (select page_id as key, {sentences(flat('excerpt'))} s from ex),
-            x1 as (select key, s, 1 i, cast([] as varchar[]) done, '' buf from xs union all select key, s, i + 1, case when sp then list_append(done, buf) else done end, case when sp or buf = '' then s[i] else buf || ' ' || s[i] end
-              from (select *, buf <> '' and length(buf) + 1 + length(s[i]) > {K.PASSAGE_MAX_CHARS} sp from x1 where i <= len(s))),
-            xp as (select key, case when len(done) > 0 and length(buf) < {K.PASSAGE_MIN_CHARS} then list_append(done[1:len(done) - 1], done[len(done)] || ' ' || buf) else list_append(done, buf) end ps from x1 where i = len(s) + 1),
-            st as materialized (select cit.page_id, case when known then t1 else 'unreachable' end t1, excerpt is not null or length(text) >= {K.MIN_PAGE_CHARS} located, coalesce(excerpt, text) target, claim from cit join pt using (page_id)),
-            pp as materialized (select st.page_id, coalesce(xp.ps, ps2.ps) ps from st left join xp on xp.key = st.page_id left join passages ps2 on ps2.key = 2 * st.page_id + 1),
+        "verdicts": f"""with recursive {LOCATED},
             tt as materialized (select distinct page_id as key, i, unnest({content('x')}) term from (select page_id, unnest(range(len(ps))) i, unnest(ps) x from pp)), k as (select page_id as key, claim from st), {scored_claims('k')},
             nm as (select page_id, low, string_split(regexp_replace(p, '\\s+', ' ', 'g'), ' ') ws from (select page_id, lower(target) low, unnest({names(clean('claim'))}) p from st)),
             un as (select distinct page_id from (select page_id, low, array_to_string(ws[list_position(list_transform(ws, lambda w: lower(w) not in ({quoted(NOT_NAMES)})), true):], ' ') p from nm where list_contains(list_transform(ws, lambda w: lower(w) not in ({quoted(NOT_NAMES)})), true))
@@ -316,7 +321,7 @@ t as (select doc_id, string_agg(x, ' ' order by i) clip from (select *, row_numb
             r as (select id, unnest([case when miss then {{'severity': 'problem', 'rule': 'missing-keys'}} end, case when not miss and not starts_with(id, '1') then {{'severity': 'problem', 'rule': 'id-prefix'}} end, case when not miss and trim(claim) = '' then {{'severity': 'problem', 'rule': 'empty-claim'}} end,
               case when not miss and ok is null and expected_status not in ('unreachable', 'paywalled') then {{'severity': 'problem', 'rule': 'url-not-in-pool'}} end, case when not miss and ok and ptext is null then {{'severity': 'problem', 'rule': 'no-saved-text'}} end,
               case when not miss and not sh then {{'severity': 'problem', 'rule': 'supported-clause-absent'}} end, case when not miss and uh then {{'severity': 'warning', 'rule': 'unsupported-clause-present'}} end]) x from s)
-            select id, x.severity severity, x.rule rule from r where x is not null union all select id, 'problem', 'id-collision' from cases where doc_id % 20 = 0 union all select distinct url, 'warning', 'url-reused' from cases where url in (select url from cases where doc_id % 20 = 0)""",
+            select id, x.severity severity, x.rule rule from r where x is not null union all select id, 'problem', 'id-collision' from cases where expected_status = 'ambiguous' union all select distinct url, 'warning', 'url-reused' from cases where url in (select url from cases where expected_status = 'ambiguous')""",
         "perf_subset": f"with {CASES} select id, expected_status from cases where expected_status in ('supported', 'unsupported', 'ambiguous') order by doc_id limit 5",
     }
 

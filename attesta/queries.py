@@ -156,7 +156,8 @@ def pairs(spark, sf) -> DataFrame:
 
 @query
 def best_source(spark, sf):
-    return O.best_sources(pairs(spark, sf)).select(F.col("claim_id").alias("item_id"), F.col("source_id").alias("doc_id"), "score", "status")
+    found = O.leading_pairs(table(spark, sf, "benchmark"), table(spark, sf, "documents"), claim_id="item_id", claim_text="text", source_id="doc_id", source_text="text")
+    return O.best_sources(found).select(F.col("claim_id").alias("item_id"), F.col("source_id").alias("doc_id"), "score", "status")
 
 
 @query
@@ -391,13 +392,21 @@ def combined_clauses(spark, sf):
 # Evaluation
 
 
+def page_url(doc_id: Column) -> Column:
+    """Ten documents share a page, so pages grow with the documents; fifty hosts."""
+    n = F.floor(doc_id / 10)
+    return F.concat(F.lit("http://h"), (n % 50).cast("string"), F.lit("/"), n.cast("string"))
+
+
 def cases(spark, sf) -> DataFrame:
-    d = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "source", "text"), "doc_id")
+    """A case of each labelled document: its first sentence as the claim, its last one as a supported clause, its page."""
+    d = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", T.sentences(F.col("text")).alias("s")), "doc_id")
+    said = lambda at: F.coalesce(F.try_element_at("s", F.lit(at)), F.lit(""))
     i, names = F.col("doc_id"), T.literal_array(sorted(K.CANONICAL))
     expected = F.when(F.col("toxic") == 1, F.lit(K.UNSUPPORTED)).when((F.col("quality") == 0) & (i % 2 == 0), F.lit(K.AMBIGUOUS)).when(F.col("quality") == 0, F.lit(K.UNSUPPORTED)).otherwise(F.lit(K.SUPPORTED))
     return d.select(
         i.cast("string").alias("id"), F.get(names, (i % 12).cast("int")).alias("category"), expected.alias("expected_status"), F.get(T.literal_array(K.CONFIDENCES), (i % 3).cast("int")).alias("labeler_confidence"),
-        F.concat(F.lit("http://"), "source", F.lit("/"), (i % 2).cast("string")).alias("url"), F.substring("text", 1, 120).alias("claim"), F.lit("").alias("notes"), F.array(F.substring("text", 1, 60)).alias("supported_clauses"), F.array(F.lit("nothing like this is said anywhere at all")).alias("unsupported_clauses"), i,
+        F.when(i % 97 == 3, F.concat(F.lit("http://lost/"), i.cast("string"))).otherwise(page_url(i)).alias("url"), said(1).alias("claim"), F.lit("").alias("notes"), F.array(said(-1)).alias("supported_clauses"), F.array(F.lit("nothing like this is said anywhere at all")).alias("unsupported_clauses"), i,
     )
 
 
@@ -580,10 +589,10 @@ def authored_set(spark, sf):
 
 
 def case_pages(spark, sf) -> DataFrame:
-    """A page for each URL of the cases: the text of its first document; some failed, some without text."""
-    c = cases(spark, sf).join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
-    p = c.groupBy("url").agg(F.min_by("text", "doc_id").alias("text"), F.min("doc_id").alias("k"))
-    return p.where("k % 17 <> 3").select("url", (F.col("k") % 13 != 1).alias("ok"), F.when(F.col("k") % 11 != 2, F.col("text")).alias("text"))
+    """A page for each URL: the whole texts of its documents; some failed, some without text."""
+    d = table(spark, sf, "documents").groupBy(page_url(F.col("doc_id")).alias("url")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("d"))  # ten documents
+    p = d.select("url", F.array_join(F.col("d.text"), "\n").alias("text"), F.col("d")[0]["doc_id"].alias("k"))
+    return p.select("url", (F.col("k") % 13 != 1).alias("ok"), F.when(F.col("k") % 11 != 2, F.col("text")).alias("text"))
 
 
 @query
@@ -594,7 +603,7 @@ def label_problems(spark, sf):
 @query
 def case_problems(spark, sf):
     c = cases(spark, sf)
-    older = c.where("doc_id % 20 = 0").select("id", "url")
+    older = c.where(F.col("expected_status") == K.AMBIGUOUS).select("id", "url")
     return A.case_problems(c, case_pages(spark, sf), older, prefix="1")
 
 
