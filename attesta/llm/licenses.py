@@ -212,24 +212,29 @@ def _examples(filler: list[list[str]], seed: int, copies: int) -> list[tuple[str
     return out
 
 
+def _filler(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of the paragraphs of whole texts, in order."""
+    for batch in batches:
+        for a, b, text in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), text_bytes(batch.column("text")), strict=True):
+            p = [b" ".join(w[i : i + WINDOW]).decode("utf-8", "replace") for w in paragraphs(text or b"") for i in range(0, max(1, len(w) - STRIDE), STRIDE)]
+            n = len(p)
+            yield pa.RecordBatch.from_arrays([pa.array([a] * n, pa.int64()), pa.array([b] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(p, pa.string())], names=["a", "b", "i", "p"])
+
+
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 300, sample_paragraphs: int = 3000, copies: int = 3, vocabulary: int = 4096, ridge: float = 1e-4, rounds: int = 300, seed: int = 7) -> LicenseModel:
     """Trains on reference notices and, as the unknown class, on paragraphs of at most ``sample_rows`` documents.
 
-    The documents are those of lowest id hash, and at most ``sample_paragraphs`` of their paragraphs are taken; those
-    that resemble a notice are left out. A fifth of all examples sets the temperature that calibrates probabilities.
+    The documents are those of lowest id hash, and at most ``sample_paragraphs`` windows of their paragraphs are taken, from
+    the first fifty times as many, so texts of any length send no more; those that resemble a notice are left out. A fifth of all examples sets the temperature that calibrates probabilities.
     """
     d = pick(docs, doc_id=id_col, text=text_col).where("text is not null").withColumn("a", F.xxhash64("doc_id")).withColumn("b", F.xxhash64("text"))
     chosen = d.select("a", "b").distinct().orderBy("a", "b").limit(sample_rows)  # hashes first, so that tasks send no texts
     sample = d.join(F.broadcast(chosen), ["a", "b"]).dropDuplicates(["a", "b"]).orderBy("a", "b")  # sample_rows pairs
-    texts = [bytes(r["text"], "utf-8") for r in sample.select("text").collect()]  # sample_rows texts
-    templates = {f: [pair_set(u, k) for u in [units([t.encode() for t in ts])] for k in range(len(u.start))] for f, ts in notices().items()}
-    other: list[str] = []
-    for text in texts:
-        for line in paragraphs(text):
-            for i in range(0, max(1, len(line) - STRIDE), STRIDE):
-                other.append(b" ".join(line[i : i + WINDOW]).decode("utf-8", "replace"))
+    some = sample.mapInArrow(_filler, "a long, b long, i int, p string").orderBy("a", "b", "i").limit(50 * sample_paragraphs)
+    other = [r["p"] for r in some.collect()]  # windows of sixty words at most
     random.Random(seed).shuffle(other)
     other = [p for p in other if p][:sample_paragraphs]
+    templates = {f: [pair_set(u, k) for u in [units([t.encode() for t in ts])] for k in range(len(u.start))] for f, ts in notices().items()}
     every = [t for ts in templates.values() for t in ts]
     u = units([p.encode() for p in other])
     resembles = {int(u.owner[k]) for k in range(len(u.start)) if similarity(pair_set(u, k), every) >= 0.4}
