@@ -23,11 +23,13 @@ def buckets(words: Column) -> Column:
 def train(docs: DataFrame, labelled: DataFrame, domains: list[str], *, id_col: str, text_col: str, domain_col: str, sample_rows: int = 20_000) -> tuple[DataFrame, list[float]]:
     """Word-bucket log-probabilities of each domain (a table of at most ``BUCKETS`` rows) and log-priors.
 
-    Fits on at most ``sample_rows`` labelled documents, those of lowest id hash; domains that aren't asked for and
-    nulls are left out. A domain without labelled documents gets the uniform distribution.
+    Fits on at most ``sample_rows`` labelled documents, those of lowest id hash, of rows that repeat an id one; domains
+    that aren't asked for and nulls are left out. A domain without labelled documents gets the uniform distribution.
     """
     ids = pick(labelled, doc_id=id_col).where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     rows = pick(docs, doc_id=id_col, text=text_col, domain=domain_col).where(F.col("domain").isin(*domains)).join(F.broadcast(ids), "doc_id")  # sample_rows ids at most
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text", "domain").alias("h"), "text", "domain")).alias("r")).select("r.text", "r.domain")
+    rows = staged(rows, "mixing-sample")  # sample_rows texts
     words = rows.withColumn("w", words_of(F.coalesce("text", F.lit("")))).select("domain", F.explode(buckets(F.col("w"))).alias("bucket"))
     counts = np.ones((BUCKETS, len(domains)))
     for r in words.groupBy("domain", "bucket").count().collect():  # BUCKETS x domains rows at most
@@ -64,6 +66,8 @@ class Rates:
     lower: float
     start: float
     shares: list[float]
+    #: The largest distance of an expected domain share from its target, in shares of the table's tokens.
+    residual: float = 0.0
 
     def column(self, p: Column) -> Column:
         rate = F.lit(float(self.start))
@@ -79,7 +83,8 @@ def fit_rates(members: DataFrame, targets: list[float], *, lower: float = 0.0, k
     Minimises the squared distance of expected domain tokens, sum(rate * tokens * p), from ``targets`` times the budget.
     The gradient is taken in the metric of the domains' Gram matrix, so a step without a bound that bites is exact. The
     budget is the table's tokens; with ``keep_all`` rates stay at 1 or more and the budget grows until no domain has to
-    shrink, so no document is lost. Only the steps (a number for each domain) reach the driver.
+    shrink, so no document is lost. Only the steps (a number for each domain) reach the driver. ``shares`` and ``residual``
+    of the result say what was reached: a target that bounds put out of reach leaves a residual above ``tolerance``.
     """
     k = len(targets)
     b = np.array(targets, float) / sum(targets)
@@ -100,7 +105,7 @@ def fit_rates(members: DataFrame, targets: list[float], *, lower: float = 0.0, k
         r = rates.column(F.col("p"))
         now = np.array(members.agg(*[F.sum(w * r * F.col("p")[i]) for i in range(k)]).first(), float) / total if rates.steps else have
         residual = now - budget * b
-        rates.shares = (now / now.sum()).tolist()
+        rates.shares, rates.residual = (now / now.sum()).tolist(), float(np.abs(residual).max())
         if np.abs(residual).max() < tolerance or (len(rates.steps) > 2 and np.abs(residual - before).max() < tolerance / 100):
             break
         before = residual
