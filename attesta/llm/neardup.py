@@ -27,8 +27,6 @@ N_HASHES = 2 * KEYS * WIDTH
 LEAST_AGREEING = 33
 #: A bucket or cell of more texts, or with more shingles in their sets, is hot; a task compares about so many.
 BLOCK, BLOCK_HASHES = 256, 1_000_000
-#: How often the texts of a hot bucket are first compared with one central text that isn't connected yet to most of them.
-LED = 4
 #: Shingles that more than one in so many (and more than so few) of the open texts' shingles are, are frequent; there are
 #: at most so many.
 COMMON, COMMON_LEAST = 100_000, 8
@@ -299,8 +297,7 @@ def labelled(docs: DataFrame, words_each: int, percent: int, id_col: str, text_c
     Texts with equal sets are one class and are handled once. The cells of ordinary buckets propose a spanning forest of
     candidates, which is confirmed on full sets; components that this joins need no further comparison; candidates that
     are still apart are compared on full sets inside their bucket, so no link between different texts is lost and no list
-    of pairs is made. The texts of a hot bucket are first compared with a central one, as long as that joins some (``LED``
-    times at most). Those of buckets that aren't joined then meet by a prefix filter: each by its rarest shingles, of which
+    of pairs is made. The texts of a hot bucket are first compared with the most central one. Those of buckets that aren't joined then meet by a prefix filter: each by its rarest shingles, of which
     two linked texts have one in common, so a crowd that shares a passage and no more costs nothing. If so many have one
     of them in common that a task can't compare them, they are compared in blocks, of which those of texts that are
     connected with most of the group meet only the others.
@@ -341,14 +338,11 @@ def labelled(docs: DataFrame, words_each: int, percent: int, id_col: str, text_c
         fresh = up.select(F.col("root").alias("node"), F.col("up").alias("root")).join(label, "node", "left_anti")
         label = staged(moved.unionByName(fresh), "minhash-labels")
 
-    def confirm(pairs: DataFrame, sets: DataFrame | None = None) -> int:
-        """Takes in the pairs that are links; how many these are."""
+    def confirm(pairs: DataFrame, sets: DataFrame | None = None) -> None:
         if sets is None:
             sets = sets_of(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))))
         sides = pairs.join(sets.select(F.col("key").alias("a"), F.col("hashes").alias("sa")), "a").join(sets.select(F.col("key").alias("b"), F.col("hashes").alias("sb")), "b")
-        sure = staged(sides.mapInArrow(_confirmed(percent), "a binary, b binary"), "minhash-links")
-        add(sure)
-        return sure.count()
+        add(staged(sides.mapInArrow(_confirmed(percent), "a binary, b binary"), "minhash-links"))
 
     def labels(rows: DataFrame) -> DataFrame:
         if label is None:
@@ -362,15 +356,10 @@ def labelled(docs: DataFrame, words_each: int, percent: int, id_col: str, text_c
         central = hot.groupBy("key").agg(F.sum("count").alias("central"))  # originals share more buckets than their copies do
         hot = staged(hot.select("key", "i", "a").join(central, "key"), "minhash-hot")
         sets = sets_of(hot.select("key"))
-        for turn in range(LED):
-            rows = staged(labels(hot), "minhash-hot-labels")
-            sizes = rows.groupBy("i", "a", "label").agg(F.count("*").alias("c"), F.max(F.struct("central", "key")).alias("top"))
-            most = sizes.groupBy("i", "a").agg(F.max(F.struct("c", "label"))["label"].alias("most"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
-            leaders = sizes.join(most, ["i", "a"]).where(F.lit(turn == 0) | (F.col("label") != F.col("most"))).groupBy("i", "a").agg(F.max(F.struct("top", "label")).alias("l"))
-            pairs = rows.join(leaders, ["i", "a"]).where(F.col("label") != F.col("l.label")).select(F.col("l.top.key").alias("a"), F.col("key").alias("b"))
-            pairs = staged(pairs.distinct(), "minhash-led")
-            if confirm(pairs, sets) * 20 < pairs.count():
-                break
+        # no text is connected yet, so the most central one of each bucket leads it
+        leaders = hot.groupBy("i", "a").agg(F.max(F.struct("central", "key"))["key"].alias("leader"))
+        pairs = hot.join(leaders, ["i", "a"]).where("key <> leader").select(F.col("leader").alias("a"), F.col("key").alias("b"))
+        confirm(staged(pairs.distinct(), "minhash-led"), sets)
         rows = staged(labels(hot), "minhash-hot-labels")
         open_ = rows.groupBy("i", "a").agg((F.min("label") < F.max("label")).alias("open")).where("open").drop("open")
         wanted = rows.join(open_, ["i", "a"]).select("key", "label").distinct()

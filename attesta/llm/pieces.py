@@ -79,6 +79,10 @@ class _Cache(dict):
     def __init__(self, make, most: int):
         self.make, self.most, self.size, self.old = make, most, 0, {}
 
+    def forget(self) -> None:
+        self.clear()
+        self.size, self.old = 0, {}
+
     def __missing__(self, part: str) -> bytes | tuple[bytes, bytes]:
         got = self.old.get(part) or self.make(part)
         if len(part) <= self.LONGEST:
@@ -97,7 +101,7 @@ class PieceTransducer:
     ``cache_bytes`` bounds each of the two generations of kept parts, ``pairs`` the kept weights of neighbouring pieces.
     """
 
-    def __init__(self, model: bytes, rules: dict[str, str] | None = None, cache_bytes: int = 96 << 20, pairs: int = 1_000_000):
+    def __init__(self, model: bytes, rules: dict[str, str] | None = None, cache_bytes: int = 64 << 20, pairs: int = 500_000):
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         trainer = normal = b""
         for number, value in _fields(model):
@@ -335,6 +339,7 @@ def encode(docs: DataFrame, model_file: str, *, id_col: str = "doc_id", text_col
                 ends = np.cumsum([0, *(len(x) // 4 for x in raw)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), "<i4")))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array([hashlib.sha256(x).hexdigest() for x in raw]), pa.array(np.diff(ends), pa.int64()), pa.array(same)], schema=schema)
+        tool.cache.forget()  # a worker that Spark keeps for other work holds no texts
 
     return pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, ids array<int>, ids_sha256 string, n_pieces long, round_trip boolean")
 
