@@ -529,7 +529,7 @@ def url_split(spark, sf):
 
 @query
 def url_split_summary(spark, sf):
-    return E.partition_summary(url_split(spark, sf), cases(spark, sf))
+    return E.partition_summary(E.stratified_split(cases(spark, sf)), cases(spark, sf))
 
 
 def swept(spark, sf) -> DataFrame:

@@ -370,6 +370,8 @@ KIND = " || ',' || ".join(f"count_if(expected_status = '{s}')" for s in K.STATUS
 STRATIFIED = f"""{Q.CASES}, pg as (select url, {KIND} kind from cases group by url), od as (select url, case when (row_number() over (order by kind, md5('42|' || url), url) - 1) % 2 = 0 then 'tune' else 'heldout' end side from pg),
 sp as (select id, url, side from cases join od using (url))"""
 SQL["stratified_split"] = f"with {STRATIFIED} select * from sp"
+SIDES = ", ".join(f"count_if(expected_status = '{s}')::bigint {s}" for s in K.VERDICTS)
+SQL["url_split_summary"] = f"with {STRATIFIED} select side, count(*) n_cases, count(distinct sp.url) n_urls, {SIDES} from sp join cases using (id) group by side"
 
 
 @query
@@ -396,3 +398,35 @@ def hashed_baselines(spark, sf):
 SQL["hashed_baselines"] = f"""with {Q.CASES}, c as (select expected_status s, count(*) n from cases group by 1), r as (select s, sum(n) over (order by s) / sum(n) over () reach, coalesce(sum(n) over (order by s rows between unbounded preceding and 1 preceding), 0) / sum(n) over () past from c),
 u as (select expected_status, ('0x' || left(md5('42|' || id), 12))::bigint / 281474976710656 u from cases), d as (select count_if(s = expected_status)::bigint correct, count(*) n from u join r on u >= past and u < reach)
 select 'random_by_hash' as name, correct, n, round_even(correct / n, 6) accuracy from d"""
+
+
+# The authored set
+
+
+def crossing(claim: str, edit: str) -> str:
+    """Runs of six tokens of ``claim`` that span token ``edit``."""
+    return f"list_transform([{Q.tokens(claim)}[greatest(1, {edit} - 4):{edit} + 6]], lambda u: {Q.runs('u')})[1]"
+
+
+def bare(x: str) -> str:
+    return f"regexp_replace({Q.strip(x)}, '\\.+$', '')"
+
+
+ABSENT = "not list_has_any({}, gl)"
+#: Sentences that cases are made of (pk) with the page's runs of six tokens (gl), then the four families in their order.
+AUTHORED = f"""{Q.CANDIDATES},
+g as materialized (select doc_id page_id, text, {Q.runs('t')} gl from (select doc_id, text, {Q.tokens('text')} t from documents)),
+pk as materialized (select page_id, row_number() over (partition by page_id order by i) - 1 j, sentence, sentence s, text, gl, {Q.NEGATED} cut from cand join g using (page_id) where i % greatest(1, n // 28) = 0),
+ng as materialized (select *, sentence[1:cut] || 'not ' || sentence[cut + 1:] nc, len({Q.tokens('sentence[1:cut]')}) edit from pk where cut is not null),
+nk as materialized (select *, {ABSENT.format(crossing('nc', 'edit'))} fine, {bare("string_split(nc, ',')[1]")} clause from ng),
+sw as (select *, {Q.SWAP_AT} at_ from pk), sn as (select *, list_filter([{Q.quoted(K.SWAP_NAMES)}], lambda n: not contains(lower(text), lower(n)))[row_number() over (partition by page_id order by j)] nm from sw where at_ > 0),
+sc as (select page_id, j, gl, s[1:at_] || nm || regexp_replace(s[at_ + 1:], '^[A-Z][a-z]{{3,}}', '') claim, len({Q.tokens('s[1:at_]')}) edit from sn where nm is not null),
+cl as materialized (select page_id, j, sentence, clause from nk where fine and len(string_split(regexp_replace(clause, '\\s+', ' ', 'g'), ' ')) >= 5),
+mx as (select a.page_id, a.j, {bare('a.sentence')} || ', and ' || lower(c.clause[1]) || c.clause[2:] || '.' claim, c.j < a.j later, c.j o, a.text from (select *, {bare('sentence')} b, {Q.tokens(bare('sentence'))} bt from pk) a join cl c on c.page_id = a.page_id and c.j <> a.j and c.sentence <> a.sentence where list_has_any({Q.runs('bt')}, a.gl)),
+al as (select page_id, 0 f, j o, 'verbatim-supported' category, 'supported' expected_status, sentence claim from (select *, {Q.tokens('sentence')} t from pk) where list_has_any({Q.runs('t')}, gl)
+  union all select page_id, 1, j, 'negation-flip', 'unsupported', nc from nk where fine
+  union all select page_id, 2, j, 'entity-swap', 'unsupported', claim from sc where {ABSENT.format(crossing('claim', 'edit'))}
+  union all select page_id, 3, j, 'mixed-false-conjunct', 'unsupported', claim from (select *, row_number() over (partition by page_id order by j, later, o) r from mx where not contains(text, claim)) where r = 1),
+qt as (select * from (select *, row_number() over (partition by page_id, f order by o) r from al) where r <= case when f = 3 then 1 else 2 end),
+cs as (select *, count(*) over (partition by page_id) n from qt)"""
+SQL["authored_set"] = f"""with {AUTHORED} select 'ind4-' || printf('%03d', row_number() over (order by page_id, f, o)) id, page_id, category, expected_status, 'http://d/' || page_id url, claim from cs where n >= 3"""
