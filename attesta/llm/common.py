@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -81,6 +82,13 @@ def delete(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def trim() -> None:
+    """Gives memory that a finished task no longer needs back to the system, as Spark keeps its workers for other tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_key(text: Column) -> Column:
     """16 bytes of SHA-256 of the text; an empty binary for null."""
     return F.when(text.isNull(), F.unhex(F.lit(""))).otherwise(F.substring(F.unhex(F.sha2(text, 256)), 1, 16))

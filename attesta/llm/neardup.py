@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import Rolling, binaries, hash_words, mix, pick, shuffle_partitions, staged, text_bytes
+from attesta.llm.common import Rolling, binaries, hash_words, mix, pick, shuffle_partitions, staged, text_bytes, trim
 from attesta.llm.components import components
 
 KEYS, WIDTH = 16, 2
@@ -70,6 +70,7 @@ def _sketches(words_each: int):
                 keys.append(set_key(h) if len(h) else None)
                 sigs.append(signature(h).tobytes() if len(h) else None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], schema=schema)
+        trim()
 
     return run
 
@@ -217,6 +218,7 @@ def _forest(percent: int):
                     todo += fresh[np.argsort(central[fresh])].tolist()
             if out:
                 yield _two(out, schema)
+        trim()
 
     return run
 
@@ -265,6 +267,7 @@ def _settled(percent: int):
                         tree[tree == tree[k]] = tree[a]
             if out:
                 yield _two(out, schema)
+        trim()
 
     return run
 
@@ -285,6 +288,7 @@ def _confirmed(percent: int):
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             some = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([some.column("a"), some.column("b")], schema=schema)
+        trim()
 
     return run
 

@@ -25,7 +25,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import pick
+from attesta.llm.common import pick, trim
 
 SPACE = "▁"
 INF = float("inf")
@@ -101,7 +101,7 @@ class PieceTransducer:
     ``cache_bytes`` bounds each of the two generations of kept parts, ``pairs`` the kept weights of neighbouring pieces.
     """
 
-    def __init__(self, model: bytes, rules: dict[str, str] | None = None, cache_bytes: int = 64 << 20, pairs: int = 500_000):
+    def __init__(self, model: bytes, rules: dict[str, str] | None = None, cache_bytes: int = 32 << 20, pairs: int = 250_000):
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         trainer = normal = b""
         for number, value in _fields(model):
@@ -340,6 +340,7 @@ def encode(docs: DataFrame, model_file: str, *, id_col: str = "doc_id", text_col
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), "<i4")))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array([hashlib.sha256(x).hexdigest() for x in raw]), pa.array(np.diff(ends), pa.int64()), pa.array(same)], schema=schema)
         tool.cache.forget()  # a worker that Spark keeps for other work holds no texts
+        trim()
 
     return pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, ids array<int>, ids_sha256 string, n_pieces long, round_trip boolean")
 

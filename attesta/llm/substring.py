@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import Rolling, binaries, hash_words, one_part_each, pick, shuffle_partitions, staged, text_bytes, text_key
+from attesta.llm.common import Rolling, binaries, hash_words, one_part_each, pick, shuffle_partitions, staged, text_bytes, text_key, trim
 
 #: Perfect difference cover: every residue modulo the period is a difference of two members.
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
@@ -198,6 +198,8 @@ def _repeated(kinds: tuple, parts: np.ndarray):
         many |= _marked(keys, known > 0)
         if many.any():
             yield from (pa.RecordBatch.from_arrays(list(row), schema=REPLY) for row in _by_part(parts, lo[many], hi[many], at[many]))
+        del cols, where, part, h1, h2, known, low, high, counts, ids, at, lo, hi, keys, many
+        trim()
 
     return run
 
