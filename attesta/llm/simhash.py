@@ -187,4 +187,5 @@ def neighbours(docs: DataFrame, radius: int = 3, blocks: int = 6, *, id_col: str
     sums = _cells(each, masks, "n", "least").select(F.inline(F.concat(found("p", "q"), F.when(F.col("x") < F.col("y"), found("q", "p")).otherwise(none))))
     others = sums.groupBy("fp").agg(F.sum("s.n").alias("more"), F.min("s.least").alias("near"))
     groups = each.join(others, "fp", "left").select("fp", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_within"), F.least("least", "near").alias("least_id"))
+    groups = staged(groups, "simhash-groups")  # so the join is of two plain shuffles, whose skewed parts Spark splits
     return fps.join(groups, fps["fingerprint"] == groups["fp"]).select("doc_id", as_string(F.col("fingerprint")).alias("fingerprint"), "n_within", "least_id")
