@@ -4,7 +4,8 @@ Two small collections of 16 keys, each of two MinHash values, are made from 64 h
 pairs: texts meet in table (i, j) if key i of the first and key j of the second collection agree. Making the tables'
 512 pairs of values one by one would take sixteen times as many hash functions. A table key is formed in two steps: texts
 are dealt to buckets by the first key, and those of a bucket that isn't alone to cells by the second, inside the task. Only
-texts of one cell are compared; hot buckets go by their rarest shingles instead, which loses no link at all. A pair at the threshold of 0.8 fails to
+texts of one cell are compared; hot buckets go by families of near copies, whose sets are compared whole, and by their
+rarest shingles instead, which loses no link at all. A pair at the threshold of 0.8 fails to
 meet with probability 2 * 0.36**16 = 1.6e-7; pairs whose 64 values agree in fewer than 33 places are not verified (at 0.8
 that has a probability below 1e-6). Links are confirmed on full sets.
 """
@@ -27,6 +28,11 @@ N_HASHES = 2 * KEYS * WIDTH
 LEAST_AGREEING = 33
 #: A bucket or cell of more texts, or with more shingles in their sets, is hot; a task compares about so many.
 BLOCK, BLOCK_HASHES = 256, 1_000_000
+#: Texts of hot buckets that are so similar (percent) to one that leads them are a family, of which a task compares about
+#: so many texts, with so many shingles in their sets, with as many others.
+ALIKE, CROWD, CROWD_HASHES = 50, 1024, 1_000_000
+#: Shingles of at most so many of the sets that are compared whole are counted pair by pair, others as columns of a matrix.
+PAIRED, COLUMNS = 16, 1024
 #: Shingles that more than one in so many (and more than so few) of the open texts' shingles are, are frequent; there are
 #: at most so many.
 COMMON, COMMON_LEAST = 100_000, 8
@@ -125,25 +131,25 @@ def _groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iter
 
 #: A bucket, or the texts with one of their rarest shingles in common (i is -1), and a pair of blocks of it.
 GROUP = ("i", "a", "x", "y")
-BLOCK_ROW = (*GROUP, "key", "n", "sig", "label", "block")
+BLOCK_ROW = (*GROUP, "key", "n", "sig", "label", "family", "block")
 KEY, LABEL = BLOCK_ROW.index("key"), BLOCK_ROW.index("label")
-BLOCK_DDL = "i int, a binary, x int, y int, key binary, n long, sig binary, label binary, block int"
-BLOCK_SCHEMA = pa.schema([(c, pa.int64() if c == "n" else pa.binary() if c in ("key", "sig", "label", "a") else pa.int32()) for c in BLOCK_ROW])
+BLOCK_DDL = "i int, a binary, x int, y int, key binary, n long, sig binary, label binary, family binary, block int"
+BLOCK_SCHEMA = pa.schema([(c, pa.int64() if c == "n" else pa.binary() if c in ("key", "sig", "label", "family", "a") else pa.int32()) for c in BLOCK_ROW])
 
 
 def _apart(rows: list[tuple], percent: int) -> np.ndarray | None:
     """In how many values each two texts of a group agree that meet here for the first time, may be linked by size and
-    agreement, and have different labels; 0 for others."""
+    agreement, and have different labels and families; 0 for others."""
     i, _, x, y, *_ = rows[0]
-    key, n, sig, label, block = (list(c) for c in zip(*(r[len(GROUP) : len(BLOCK_ROW)] for r in rows), strict=True))
+    key, n, sig, label, family, block = (list(c) for c in zip(*(r[len(GROUP) : len(BLOCK_ROW)] for r in rows), strict=True))
     label = np.unique(label, return_inverse=True)[1].reshape(-1)
     if label.max() == 0:
         return None
-    n, block = np.array(n), np.array(block)
+    n, family, block = np.array(n), np.unique(family, return_inverse=True)[1].reshape(-1), np.array(block)
     sig = np.frombuffer(b"".join(sig), np.uint32).reshape(len(rows), -1)
     keys = np.ascontiguousarray(sig).view(np.uint64)
     met = np.triu(_cells(keys[:, KEYS:]) if i >= 0 else np.ones((len(rows), len(rows)), bool), 1)
-    p, q = np.nonzero(met & (label[:, None] != label[None, :]))
+    p, q = np.nonzero(met & (label[:, None] != label[None, :]) & (family[:, None] != family[None, :]))
     near = np.zeros((len(rows), len(rows)), np.uint8)
     for at in range(0, len(p), 100_000):
         a, b = p[at : at + 100_000], q[at : at + 100_000]
@@ -272,27 +278,116 @@ def _settled(percent: int):
     return run
 
 
+def _in_common(sets: list[np.ndarray], one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """How many shingles each of some sets has in common with each of others (given by their places).
+
+    A set goes as what it adds to the shingles that most of them hold, and what it lacks of those: of near copies only
+    the differences are compared.
+    """
+    n, size = len(sets), [len(s) for s in sets]
+    every, col, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    who, col = np.repeat(np.arange(n), size), col.reshape(-1)
+    most = 2 * times > n
+    held = most[col]
+    lacks = np.ones((n, int(most.sum())), bool)
+    lacks[who[held], (np.cumsum(most) - 1)[col[held]]] = False
+    adds = ~held & (times[col] > 1)
+    text, of = np.nonzero(lacks)
+    who, col = np.r_[who[adds], text], np.r_[col[adds], len(every) + of]
+    order = np.lexsort((who, col))
+    who, col = who[order], col[order]
+    starts = np.flatnonzero(np.r_[True, col[1:] != col[:-1]]) if len(col) else np.empty(0, np.int64)
+    counts = np.diff(np.r_[starts, len(col)])
+    few = np.repeat(counts <= PAIRED, counts)
+    both = np.zeros((n, n), np.int32)
+    w, c = who[few], col[few]
+    for d in range(1, PAIRED):
+        same = c[d:] == c[:-d]
+        np.add.at(both, (w[:-d][same], w[d:][same]), 1)
+    both = (both + both.T)[np.ix_(one, two)]
+    w, c = who[~few], np.repeat(np.cumsum(counts > PAIRED) - 1, counts)[~few]
+    for at in range(0, int((counts > PAIRED).sum()), COLUMNS):
+        a, b = np.searchsorted(c, (at, at + COLUMNS))
+        m = np.zeros((n, COLUMNS), np.float32)
+        m[w[a:b], c[a:b] - at] = 1
+        both += (m[one] @ m[two].T).astype(np.int32)
+    lack = lacks.sum(1)
+    return int(most.sum()) - lack[one][:, None] - lack[two][None, :] + both
+
+
+def _compared(percent: int):
+    """A forest of the links between the labels of a family's texts: each text of a pair of blocks is compared, on full
+    sets, with each of the other block."""
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, (*GROUP, "key", "label", "block", "hashes")):
+            _, _, x, y, *_ = rows[0]
+            key, label, block, raw = (list(c) for c in zip(*(r[len(GROUP) :] for r in rows), strict=True))
+            tree = np.unique(label, return_inverse=True)[1].reshape(-1)
+            if tree.max() == 0:
+                continue
+            sets = [np.frombuffer(r, np.uint64) for r in raw]
+            size, block = np.array([len(s) for s in sets]), np.array(block)
+            one, two = np.flatnonzero(block == x), np.flatnonzero(block == y)
+            both = _in_common(sets, one, two)
+            linked, out = 100 * both >= percent * (size[one][:, None] + size[two][None, :] - both), []
+            for a, to in zip(one, linked, strict=True):
+                b = two[to]
+                for k in b[tree[b] != tree[a]]:
+                    if tree[k] != tree[a]:
+                        out.append((key[a], key[k]))
+                        tree[tree == tree[k]] = tree[a]
+            if out:
+                yield _two(out, schema)
+        trim()
+
+    return run
+
+
 def _two(pairs: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*[(min(p), max(p)) for p in pairs], strict=True)], schema=schema)
 
 
-def _confirmed(percent: int):
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+def _confirmed(percent: int, least: int):
+    """The pairs that are similar to ``least`` percent, and whether they are links."""
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("sure", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            keep, sure = [], []
             for sa, sb in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
                 x, y = np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            some = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([some.column("a"), some.column("b")], schema=schema)
+                keep.append(100 * both >= least * (len(x) + len(y) - both))
+                sure.append(100 * both >= percent * (len(x) + len(y) - both))
+            keep = pa.array(keep, pa.bool_())
+            some = batch.filter(keep)
+            yield pa.RecordBatch.from_arrays([some.column("a"), some.column("b"), pa.array(sure, pa.bool_()).filter(keep)], schema=schema)
         trim()
 
     return run
 
 
+def _in_blocks(rows: DataFrame, most: int, hashes: int) -> DataFrame:
+    """``key, label, a, block, x, y``: rows (a, key, n, label) of each group ``a`` with different labels, in blocks of about
+    ``most`` texts and ``hashes`` shingles, each once for each pair of blocks that a task compares.
+
+    Blocks of the most frequent label meet only the others. A small group is one block.
+    """
+    parts = rows.groupBy("a", "label").agg(F.count("*").alias("c"), F.sum("n").alias("h"))
+    groups = parts.groupBy("a").agg(F.sum("c").alias("count"), F.sum("h").alias("hashes"), F.max(F.struct("c", "h", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1")
+    blocks = lambda c, h: F.ceil(F.greatest(c / most, h / hashes)).cast("int")
+    one = (F.col("count") <= most) & (F.col("hashes") <= hashes)
+    dealt = rows.drop("n").join(groups, "a")
+    dealt = dealt.withColumn("mine", F.when(one, 0).otherwise(blocks(F.col("m.c"), F.col("m.h")))).withColumn("main", ~one & (F.col("label") == F.col("m.label")))
+    dealt = dealt.withColumn("others", F.when(one, 1).otherwise(blocks(F.col("count") - F.col("m.c"), F.col("hashes") - F.col("m.h"))))
+    at = F.pmod(F.xxhash64("key"), F.when(F.col("main"), F.col("mine")).otherwise(F.col("others"))).cast("int") + F.when(F.col("main"), 0).otherwise(F.col("mine"))
+    to = F.explode(F.sequence(F.when(F.col("main"), F.col("mine")).otherwise(0), F.col("mine") + F.col("others") - 1))
+    dealt = dealt.withColumn("block", at).withColumn("other", to)
+    return dealt.select("key", "label", "a", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+
+
 def labelled(docs: DataFrame, words_each: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """``doc_id, text_hash, n, key, root, component`` of each row.
 
@@ -301,10 +396,14 @@ def labelled(docs: DataFrame, words_each: int, percent: int, id_col: str, text_c
     Texts with equal sets are one class and are handled once. The cells of ordinary buckets propose a spanning forest of
     candidates, which is confirmed on full sets; components that this joins need no further comparison; candidates that
     are still apart are compared on full sets inside their bucket, so no link between different texts is lost and no list
-    of pairs is made. The texts of a hot bucket are first compared with the most central one. Those of buckets that aren't joined then meet by a prefix filter: each by its rarest shingles, of which
+    of pairs is made. The texts of a hot bucket are first compared with the most central one. Those that are connected by
+    similarities of ``ALIKE`` to such texts are a family: near copies of the same texts, which have most of their shingles
+    in common and so would meet by very many. Each of a family's texts that isn't joined yet is compared once with each
+    other of it, on full sets, by blocks. Texts of different families, and of none, in buckets that aren't joined then meet
+    by a prefix filter: each by its rarest shingles, of which
     two linked texts have one in common, so a crowd that shares a passage and no more costs nothing. If so many have one
     of them in common that a task can't compare them, they are compared in blocks, of which those of texts that are
-    connected with most of the group meet only the others.
+    connected with most of the group, or of its family, meet only the others.
 
     ``key`` is null for texts without words; ``root`` names the component, ``component`` is its least id.
     """
@@ -320,7 +419,7 @@ def labelled(docs: DataFrame, words_each: int, percent: int, id_col: str, text_c
     dealt = nodes.select("key", "n", F.posexplode(F.array(*[value(i) for i in range(KEYS)])).alias("i", "a"))
     shared = dealt.groupBy("i", "a").agg(F.count("*").alias("count"), F.sum("n").alias("hashes")).where("count > 1")
     bucketed = staged(dealt.drop("n").join(shared, ["i", "a"]), "minhash-shared")
-    label = None
+    label = family = None
 
     def sets_of(keys: DataFrame) -> DataFrame:
         wanted = keys.distinct().join(nodes.select("key", "least"), "key")
@@ -342,11 +441,17 @@ def labelled(docs: DataFrame, words_each: int, percent: int, id_col: str, text_c
         fresh = up.select(F.col("root").alias("node"), F.col("up").alias("root")).join(label, "node", "left_anti")
         label = staged(moved.unionByName(fresh), "minhash-labels")
 
-    def confirm(pairs: DataFrame, sets: DataFrame | None = None) -> None:
+    def by_group(rows: DataFrame) -> DataFrame:
+        return rows.repartition(n_parts, *GROUP).sortWithinPartitions(*GROUP, "key")
+
+    def confirm(pairs: DataFrame, sets: DataFrame | None = None, least: int = percent) -> DataFrame:
+        """Takes in the links among some pairs; gives the pairs of the least similarity."""
         if sets is None:
             sets = sets_of(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))))
         sides = pairs.join(sets.select(F.col("key").alias("a"), F.col("hashes").alias("sa")), "a").join(sets.select(F.col("key").alias("b"), F.col("hashes").alias("sb")), "b")
-        add(staged(sides.mapInArrow(_confirmed(percent), "a binary, b binary"), "minhash-links"))
+        found = staged(sides.mapInArrow(_confirmed(percent, least), "a binary, b binary, sure boolean"), "minhash-links")
+        add(found.where("sure").select("a", "b"))
+        return found.select("a", "b")
 
     def labels(rows: DataFrame) -> DataFrame:
         if label is None:
@@ -363,8 +468,17 @@ def labelled(docs: DataFrame, words_each: int, percent: int, id_col: str, text_c
         # no text is connected yet, so the most central one of each bucket leads it
         leaders = hot.groupBy("i", "a").agg(F.max(F.struct("central", "key"))["key"].alias("leader"))
         pairs = hot.join(leaders, ["i", "a"]).where("key <> leader").select(F.col("leader").alias("a"), F.col("key").alias("b"))
-        confirm(staged(pairs.distinct(), "minhash-led"), sets)
-        rows = staged(labels(hot), "minhash-hot-labels")
+        alike = confirm(staged(pairs.distinct(), "minhash-led"), sets, min(ALIKE, percent))
+        rows = hot.select("key", "i", "a")
+        if alike.head(1):
+            family = staged(components(alike).select(F.col("node").alias("key"), F.col("root").alias("family")), "minhash-families")
+            near = labels(family.join(nodes.select("key", "n"), "key")).select(F.col("family").alias("a"), "key", "n", "label")
+            near = _in_blocks(staged(near, "minhash-family-labels"), CROWD, CROWD_HASHES).withColumn("i", F.lit(-2)).join(sets, "key")
+            add(staged(by_group(near).mapInArrow(_compared(percent), "a binary, b binary").distinct(), "minhash-family-links"))
+            rows = rows.join(family, "key", "left")
+        # links inside a family are all known, so it goes as one label
+        rows = labels(rows) if family is None else labels(rows).withColumn("label", F.coalesce("family", "label"))
+        rows = staged(rows.select("key", "i", "a", "label"), "minhash-hot-labels")
         open_ = rows.groupBy("i", "a").agg((F.min("label") < F.max("label")).alias("open")).where("open").drop("open")
         wanted = rows.join(open_, ["i", "a"]).select("key", "label").distinct()
         pieces = staged(wanted.join(sets, "key"), "minhash-open")
@@ -374,23 +488,11 @@ def labelled(docs: DataFrame, words_each: int, percent: int, id_col: str, text_c
         common = tokens.where(F.col("n") > max(COMMON_LEAST, total // COMMON)).select("h").collect()  # COMMON shingles at most
         frequent = spark.sparkContext.broadcast(np.sort(np.array([r["h"] for r in common], np.int64).view(np.uint64)))
         firsts = staged(pieces.mapInArrow(_rare_first(frequent, percent), "a binary, key binary, n long, label binary"), "minhash-rare")
-        parts = firsts.groupBy("a", "label").agg(F.count("*").alias("c"), F.sum("n").alias("h"))
-        groups = parts.groupBy("a").agg(F.sum("c").alias("count"), F.sum("h").alias("hashes"), F.max(F.struct("c", "h", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1")
-        blocks = lambda c, h: F.ceil(F.greatest(c / BLOCK, h / BLOCK_HASHES)).cast("int")
-        one = (F.col("count") <= BLOCK) & (F.col("hashes") <= BLOCK_HASHES)
-        dealt_ = firsts.drop("n").join(groups, "a")
-        dealt_ = dealt_.withColumn("mine", F.when(one, 0).otherwise(blocks(F.col("m.c"), F.col("m.h")))).withColumn("main", ~one & (F.col("label") == F.col("m.label")))
-        dealt_ = dealt_.withColumn("others", F.when(one, 1).otherwise(blocks(F.col("count") - F.col("m.c"), F.col("hashes") - F.col("m.h"))))
-        at = F.pmod(F.xxhash64("key"), F.when(F.col("main"), F.col("mine")).otherwise(F.col("others"))).cast("int") + F.when(F.col("main"), 0).otherwise(F.col("mine"))
-        to = F.explode(F.sequence(F.when(F.col("main"), F.col("mine")).otherwise(0), F.col("mine") + F.col("others") - 1))
-        dealt_ = dealt_.withColumn("block", at).withColumn("other", to)
-        in_tasks = in_tasks.unionByName(dealt_.select("key", F.lit(-1).alias("i"), "a", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")))
-
-    met = staged(in_tasks.join(nodes.select("key", "n", "sig"), "key"), "minhash-buckets")
-
-    def by_group(rows: DataFrame) -> DataFrame:
-        return rows.repartition(n_parts, *GROUP).sortWithinPartitions(*GROUP, "key")
+        in_tasks = in_tasks.unionByName(_in_blocks(firsts, BLOCK, BLOCK_HASHES).drop("label").withColumn("i", F.lit(-1)))
 
+    met = in_tasks.join(nodes.select("key", "n", "sig"), "key")
+    met = met.withColumn("family", F.col("key")) if family is None else met.join(family, "key", "left").withColumn("family", F.coalesce("family", "key"))
+    met = staged(met, "minhash-buckets")
     pairs = staged(by_group(labels(met)).mapInArrow(_forest(percent), "a binary, b binary").distinct(), "minhash-forest")
     if pairs.head(1):
         confirm(pairs)

@@ -172,6 +172,51 @@ def test_rows_of_a_hot_bucket_grow_in_proportion(spark, monkeypatch):
     assert rows[600, "minhash-hot"] > 600 and all(got <= 100 * n for (n, _), got in rows.items()), rows  # texts of a hundred shingles
 
 
+@pytest.mark.parametrize("crowd", [12, 1024])
+def test_near_copies_of_a_text_meet_once(spark, monkeypatch, crowd):
+    """Copies with so many edits that most are not linked hold most shingles in common, but don't meet by each of them."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "CROWD", crowd)
+    rows = Counter()
+
+    def staged(df, what, f=neardup.staged):
+        out = f(df, what)
+        rows[what] += out.count()
+        return out
+
+    monkeypatch.setattr(neardup, "staged", staged)
+    rng = random.Random(21)
+    base, texts = prose(120, rng).split(), []
+    for i in range(150):
+        w = list(base)
+        for k in rng.sample(range(120), rng.randrange(1, 10)):
+            w[k] = f"edit{i}"
+        texts.append(" ".join(w))
+        if i % 30 == 0:  # linked with this copy, not with the text that all come from
+            w[rng.randrange(120)] = "again"
+            texts.append(" ".join(w))
+    rng.shuffle(texts)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 4, 80).collect()}
+    assert got == least_ids(texts, 4) and len(set(got.values())) > 20
+    assert rows["minhash-family-labels"] > 100 and rows["minhash-buckets"] + rows["minhash-undecided"] < 20 * len(texts), rows
+
+
+@pytest.mark.parametrize("paired, columns", [(1, 3), (2, 64), (16, 1024)])
+def test_shingles_in_common_are_counted(monkeypatch, paired, columns):
+    monkeypatch.setattr(neardup, "PAIRED", paired)
+    monkeypatch.setattr(neardup, "COLUMNS", columns)
+    rng = np.random.default_rng(8)
+    base = np.arange(60, dtype=np.uint64)
+    sets = [np.unique(np.r_[rng.choice(base, rng.integers(1, 60), replace=False), rng.integers(60, 90, 5).astype(np.uint64)]) for _ in range(40)]
+    one, two = np.arange(0, 40, 3), np.arange(1, 40, 2)
+    want = [[len(np.intersect1d(sets[a], sets[b])) for b in two] for a in one]
+    got = neardup._in_common(sets, one, two)
+    differ = one[:, None] != two[None, :]  # a set is not compared with itself
+    assert (got == np.array(want))[differ].all()
+    apart = [np.arange(10 * k, 10 * k + 9, dtype=np.uint64) for k in range(4)]
+    assert (neardup._in_common(apart, np.arange(2), np.arange(2, 4)) == 0).all()
+
+
 def test_deduplicated(docs, none):
     sets, root = near_components(ROWS, 5)
     got = [(r["doc_id"], r["text"]) for r in neardup.deduplicated(docs).collect()]
