@@ -83,11 +83,15 @@ def features(docs: DataFrame, id_col: str, text_col: str, lang_col: str, text_ha
 
 
 def jensen_shannon(p: Column, q: list[float]) -> Column:
-    """Distance (square root of the divergence in bits) of an array of shares from fixed shares."""
+    """Distance (square root of the divergence in bits) of an array of shares from fixed shares.
+
+    Where one of two shares is 0, the other is twice their mean, so its part is the share itself: most words of a document
+    are of one language, and need no logarithm.
+    """
     def term(a: Column, b: Column) -> Column:
         m = (a + b) / 2
-        part = lambda x: F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
-        return (part(a) + part(b)) / 2
+        part = lambda x: x * F.log2(x / m)
+        return F.when(a == 0, b / 2).when(b == 0, a / 2).otherwise((part(a) + part(b)) / 2)
 
     total = F.aggregate(F.zip_with(p, F.array(*[F.lit(float(x)) for x in q]), term), F.lit(0.0), lambda s, x: s + x)
     return F.sqrt(F.greatest(total, F.lit(0.0)))
@@ -120,10 +124,13 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     """
     feats = staged(features(docs, id_col, text_col, lang_col, text_hash), "quality")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    share = lambda c: F.transform(c, lambda x: x / F.greatest(F.aggregate(c, F.lit(0).cast("long"), lambda s, y: s + y), F.lit(1)))
+    total = lambda c: F.greatest(F.aggregate(c, F.lit(0).cast("long"), lambda s, y: s + y), F.lit(1))
+    # totals here and shares below are bound once: the optimizer would put them wherever they are used, for each element
+    share = lambda c: F.get(F.transform(F.array(total(c)), lambda n: F.transform(c, lambda x: x / n)), F.lit(0))
     d = feats.withColumn("base_failed", failed).withColumn("classes", share("classes")).withColumn("common", share("common"))
     refs = references(d)
-    nearest = lambda kind: F.array_min(F.array(*[F.round(jensen_shannon(F.col(kind), r[kind]), 6) for r in refs.values()])) if refs else F.lit(0.0)
+    distance = lambda kind: lambda p: F.array_min(F.array(*[F.round(jensen_shannon(p, r[kind]), 6) for r in refs.values()]))
+    nearest = lambda kind: F.get(F.transform(F.array(F.col(kind)), distance(kind)), F.lit(0)) if refs else F.lit(0.0)
     d = d.withColumn("class_distance", nearest("classes")).withColumn("common_distance", nearest("common"))
     fits = (F.col("class_distance") <= CLASS_DISTANCE + CLASS_DISTANCE_WORDS / F.greatest(F.col("n_words"), F.lit(1))) & ((F.col("n_words") < MIN_COMMON_WORDS) | (F.col("common_distance") <= MAX_COMMON_DISTANCE))
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & fits).alias("kept"), "class_distance", "common_distance", *(["text_hash"] if text_hash else []))
