@@ -19,7 +19,7 @@ from attesta.functions.text import normal_status
 from attesta.operators import evaluation as E
 from attesta.operators.entailment import Scorer, lexical_scorer
 from attesta.operators.models import ModelError
-from attesta.plans.report import evaluation_payload
+from attesta.plans import report as R
 from attesta.plans.verify import verify
 from attesta.service import chosen_scorer
 from attesta.sources.cases import latest_run, read_cases
@@ -59,7 +59,9 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
     records = case_records(cases, pages, scorer=chosen_scorer(a.nli, a.nli_model)).cache()
     if a.records:
         records.write.mode("overwrite").parquet(a.records)
-    body = json.loads(evaluation_payload(records, cases, datetime.now(UTC).isoformat(timespec="seconds"), a.set, bool(a.nli)))
+    about = (records, cases, datetime.now(UTC).isoformat(timespec="seconds"), a.set, bool(a.nli))
+    whole = not a.records or records.count() <= R.MOST_ROWS  # else the records are in their table only
+    body = json.loads(R.evaluation_payload(*about)) if whole else R.evaluation_summary(*about)
     if a.compare:
         before = latest_run(spark, a.compare)
         body["compared"] = {"mcnemar": _rows(E.mcnemar_test(records, before)), "changes": _rows(E.run_difference(records, before)), "families": _rows(E.family_deltas(records, before))}

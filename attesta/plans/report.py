@@ -89,19 +89,36 @@ def exit_status(result: dict, threshold: float = 0.8, strict: bool = False) -> i
     return int(result["pass_rate"] < threshold or bad)
 
 
-def evaluation_payload(records: DataFrame, cases: DataFrame, generated_utc: str, set_name: str, nli: bool) -> str:
-    """An evaluation run's result as JSON text: the aggregates, each a few rows, and the records of the set.
+def _table(d: DataFrame) -> list[dict]:
+    return [{k: None if v != v else v for k, v in r.items()} for r in _few(d)]  # JSON has no NaN
 
-    A set of more than ``MOST_ROWS`` records raises: its records belong in a table.
-    """
-    table = lambda d: [{k: None if v != v else v for k, v in r.items()} for r in _few(d)]  # noqa: E731  JSON has no NaN
+
+def evaluation_summary(records: DataFrame, cases: DataFrame, generated_utc: str, set_name: str, nli: bool) -> dict:
+    """The aggregates of an evaluation run, each a few rows whatever the size of the set."""
     overall = V.agreement(records).first()
-    body = {
+    return {
         "generated_utc": generated_utc, "set": set_name, "nli": nli, "total": overall["total"], "matched": overall["correct"], "agreement_pct": round(100 * overall["agreement"], 2),
-        "confusion_matrix": table(V.confusion_matrix(records)), "per_category_recall": table(V.category_recall(records)), "per_status_pr": table(V.status_precision_recall(records)),
-        "uncertainty": table(V.uncertainty(records, cases)), "cluster_bootstrap": table(V.uncertainty_block(records, cases).where("part = 'clusters'")), "by_labeler_confidence": table(V.confidence_breakdown(records, cases)), "safety": table(V.safety_rate(records, "negation-flip", "entity-swap")),
-        "records": table(V.graded(records)),
+        "confusion_matrix": _table(V.confusion_matrix(records)), "per_category_recall": _table(V.category_recall(records)), "per_status_pr": _table(V.status_precision_recall(records)),
+        "uncertainty": _table(V.uncertainty(records, cases)), "cluster_bootstrap": _table(V.uncertainty_block(records, cases).where("part = 'clusters'")), "by_labeler_confidence": _table(V.confidence_breakdown(records, cases)), "safety": _table(V.safety_rate(records, "negation-flip", "entity-swap")),
     }
-    return json.dumps(body, ensure_ascii=False, indent=2)
+
+
+def evaluation_payload(records: DataFrame, cases: DataFrame, generated_utc: str, set_name: str, nli: bool) -> str:
+    """An evaluation run's result as JSON text: the aggregates and the records of the set.
+
+    A set of more than ``MOST_ROWS`` records raises: ``write_evaluation`` is for those.
+    """
+    body = evaluation_summary(records, cases, generated_utc, set_name, nli)
+    return json.dumps(body | {"records": _table(V.graded(records))}, ensure_ascii=False, indent=2)
+
+
+def write_evaluation(records: DataFrame, cases: DataFrame, path: str, generated_utc: str, set_name: str, nli: bool) -> None:
+    """An evaluation run's aggregates as one JSON line under ``path/summary``, its records as JSON lines under
+    ``path/records``, for sets of any size: no record passes the driver."""
+    d = V.graded(records)
+    d = d.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c, kind in d.dtypes if kind in ("double", "float")})  # JSON has no NaN
+    d.select(F.to_json(F.struct(*d.columns)).alias("value")).write.mode("overwrite").text(f"{path}/records")
+    body = json.dumps(evaluation_summary(records, cases, generated_utc, set_name, nli), ensure_ascii=False)
+    records.sparkSession.createDataFrame([(body,)], "value string").write.mode("overwrite").text(f"{path}/summary")
 
 
