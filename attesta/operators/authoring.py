@@ -17,7 +17,8 @@ def authorable(sentence: Column) -> Column:
     n = F.size(F.filter(F.split(sentence, T.SPACES), lambda w: w != ""))
     plain = sentence.rlike(r"^[A-Za-z0-9 ,.\-'’%$£€/]+$")
     telling = sentence.rlike(r"\d") | F.substring(sentence, 2, 1_000_000).rlike(r"\b[A-Z][a-z]{3,}")
-    return n.between(*K.SENTENCE_WORDS) & plain & sentence.rlike("^[A-Z]") & F.endswith(sentence, F.lit(".")) & telling
+    capital = (sentence >= "A") & (sentence < "[")
+    return capital & F.endswith(sentence, F.lit(".")) & plain & telling & n.between(*K.SENTENCE_WORDS)  # what costs least comes first
 
 
 def negation(sentence: Column) -> Column:
@@ -101,6 +102,12 @@ def mixed(a: Column, at: Column, clauses: Column, page: Column, grams: Column) -
     return F.when(F.arrays_overlap(T.ngrams(_bare(a)), grams), F.get(first_made(order, 1, joined, "string"), F.lit(0)))
 
 
+def kept(rows: DataFrame, test: Column) -> DataFrame:
+    """Rows that meet a test of costly columns. A plain filter goes below the columns and works them out there again, once for
+    each use; one above a column that isn't deterministic stays in its place."""
+    return rows.withColumn("_held", F.monotonically_increasing_id()).where(test & (F.col("_held") >= 0)).drop("_held")
+
+
 def authored(pages: DataFrame, *, id_col: str, url_col: str, text_col: str, per_page: int = 7) -> DataFrame:
     """Cases of four families for each page, with quotas: two verbatim, two negated, two swapped, one mixed, ``per_page``
     in all; pages with fewer than three cases give none.
@@ -109,7 +116,7 @@ def authored(pages: DataFrame, *, id_col: str, url_col: str, text_col: str, per_
     that page, so a page is the unit of work and nothing is shuffled until ids are given out. Work is linear in sentences.
     """
     p = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(text_col).alias("page"))
-    p = p.withColumn("every", F.filter(T.sentences(F.col("page")), authorable)).where(F.size("every") > 0)
+    p = kept(p.withColumn("every", F.filter(T.sentences(F.col("page")), authorable)), F.size("every") > 0)
     step = F.greatest(F.lit(1), F.floor(F.size("every") / F.lit(max(per_page * 4, 1)))).cast("int")
     p = p.withColumn("step", step).withColumn("picked", F.filter("every", lambda s, i: i % F.col("step") == 0)).withColumn("grams", T.ngrams(F.col("page")))
     absent = lambda x: ~F.arrays_overlap(T.crossing_ngrams(x["claim"], x["edit"]), F.col("grams"))
@@ -129,7 +136,7 @@ def authored(pages: DataFrame, *, id_col: str, url_col: str, text_col: str, per_
     both = first_made(tries, 1, lambda x: mixed(x["s"], x["at"], F.col("clauses"), F.col("page"), F.col("grams")), "string")
     family = lambda claims, category, status: F.transform(claims, lambda c: F.struct(F.lit(category).alias("category"), F.lit(status).alias("expected_status"), c.alias("claim")))
     cases = F.concat(family(verbatim, "verbatim-supported", K.SUPPORTED), family(negated, "negation-flip", K.UNSUPPORTED), family(swaps, "entity-swap", K.UNSUPPORTED), family(both, "mixed-false-conjunct", K.UNSUPPORTED))
-    p = p.withColumn("cases", cases).where(F.size("cases") >= 3).select("page_id", "url", F.slice("cases", 1, per_page).alias("cases"))
+    p = kept(p.withColumn("cases", cases), F.size("cases") >= 3).select("page_id", "url", F.slice("cases", 1, per_page).alias("cases"))
     return p.select("page_id", "url", F.posexplode("cases").alias("k", "c")).select("page_id", "k", "c.category", "c.expected_status", F.lit("high").alias("labeler_confidence"), "url", "c.claim")
 
 
@@ -147,8 +154,8 @@ def numbered(rows: DataFrame, name: str, *order: str) -> DataFrame:
 
 
 def with_ids(cases: DataFrame, prefix: str, *order: str) -> DataFrame:
-    """Sequential ids in the given order, from 1."""
-    return numbered(cases, "_n", *order).withColumn("id", F.format_string(f"{prefix}%03d", F.col("_n") + 1)).drop("_n")
+    """Sequential ids in the given order, from 1. The cases are frozen, as range bounds take a sample of them before."""
+    return numbered(frozen(cases), "_n", *order).withColumn("id", F.format_string(f"{prefix}%03d", F.col("_n") + 1)).drop("_n")
 
 
 def label_problems(cases: DataFrame, pages: DataFrame) -> DataFrame:
