@@ -71,6 +71,7 @@ SENTENCE_WORDS = (12, 34)
 
 # Patterns, in the syntax of java.util.regex.
 WORD = r"[A-Za-z][A-Za-z0-9'\-]*|\d+(?:\.\d+)?"
+LONG_WORD = r"[A-Za-z][A-Za-z0-9'\-]+|\d+(?:\.\d+)?"
 QUOTED = r"\"[^\"\n]{2,}\"|'[^'\n]{2,}'"
 NUMBER = r"\d+(?:\.\d+)?"
 NAME = r"\b[A-Z][a-zA-Z0-9]{2,}(?:\s+[A-Z][a-zA-Z0-9]+)*\b"
