@@ -11,10 +11,10 @@ from attesta.sources.staging import frozen
 
 
 def coverage(weights: Column, terms: Column) -> Column:
-    """Share of the weight (``array<struct<term, weight>>``) whose terms are present; 0 without weight."""
+    """Share of the weight (``array<struct<term, weight>>``) whose terms are present; 0 without weight or terms."""
     start = F.struct(F.lit(0.0).alias("hit"), F.lit(0.0).alias("total"))
     add = lambda s, w: F.struct((s["hit"] + F.when(F.array_contains(terms, w["term"]), w["weight"]).otherwise(F.lit(0.0))).alias("hit"), (s["total"] + w["weight"]).alias("total"))
-    return F.aggregate(weights, start, add, lambda s: F.when(s["total"] > 0, s["hit"] / s["total"]).otherwise(F.lit(0.0)))
+    return F.when(F.size(terms) == 0, F.lit(0.0)).otherwise(F.aggregate(weights, start, add, lambda s: F.when(s["total"] > 0, s["hit"] / s["total"]).otherwise(F.lit(0.0))))
 
 
 def status_for_score(score: Column) -> Column:
@@ -37,26 +37,37 @@ def ranked(claim: Column, passages: Column, top_k: int = K.TOP_K) -> Column:
 
 def best(claim: Column, passages: Column) -> Column:
     """``struct<score, evidence>`` of the best passage; (0, "") without terms or passages."""
-    none = F.struct(F.lit(0.0).alias("score"), F.lit("").alias("evidence"))
+    return T.let(T.term_weights(T.clean_claim(claim)), lambda weights: _best(weights, passages))
 
-    def chosen(weights: Column) -> Column:
-        scored = F.transform(passages, lambda p, i: F.struct(F.bround(coverage(weights, p["terms"]), 4).alias("score"), (-i).alias("back"), p["passage"].alias("passage")))
-        found = lambda top: F.when((F.size(weights) > 0) & top.isNotNull(), F.struct(top["score"].alias("score"), T.clipped(top["passage"]).alias("evidence"))).otherwise(none)
-        return T.let(F.array_max(scored), found)
 
-    return T.let(T.term_weights(T.clean_claim(claim)), chosen)
+def _best(weights: Column, passages: Column) -> Column:
+    none = F.struct(F.lit(0.0).alias("score"), F.lit("").alias("evidence"))
+
+    scored = F.transform(passages, lambda p, i: F.struct(F.bround(coverage(weights, p["terms"]), 4).alias("score"), (-i).alias("back"), p["passage"].alias("passage")))
+    found = lambda top: F.when((F.size(weights) > 0) & top.isNotNull(), F.struct(top["score"].alias("score"), T.clipped(top["passage"]).alias("evidence"))).otherwise(none)
+    return T.let(F.array_max(scored), found)
 
 
 def compound(claim: Column, passages: Column) -> Column:
     """``best``, but a claim of several clauses of which some are covered and some are not scores at the low threshold
-    and shows the evidence of its first worst clause."""
-    def judged(each: Column) -> Column:
+    and shows the evidence of its first worst clause.
+
+    Of a passage's terms only those that the claim has count, so they are picked out once for all clauses.
+    """
+    weigh = lambda c: T.term_weights(T.clean_claim(c))
+
+    def judged(each: Column, whole: Column, near: Column) -> Column:
         scores = F.transform(each, lambda x: x["score"])
         worst = F.get(F.filter(each, lambda x: x["score"] == F.array_min(scores)), F.lit(0))
         mixed = (F.size(each) > 1) & (F.array_max(scores) >= K.LOW_OVERLAP) & (F.array_min(scores) < K.LOW_OVERLAP)
-        return F.when(mixed, F.struct(F.greatest(F.array_min(scores), F.lit(K.LOW_OVERLAP)).alias("score"), worst["evidence"].alias("evidence"))).otherwise(best(claim, passages))
+        return F.when(mixed, F.struct(F.greatest(F.array_min(scores), F.lit(K.LOW_OVERLAP)).alias("score"), worst["evidence"].alias("evidence"))).otherwise(_best(whole, near))
+
+    def met(w: Column) -> Column:
+        wanted = F.flatten(F.transform(F.concat(F.array(w["whole"]), w["clauses"]), lambda x: F.transform(x, lambda t: t["term"])))
+        kept = lambda terms: F.transform(passages, lambda p: F.struct(p["passage"].alias("passage"), F.array_intersect(terms, p["terms"]).alias("terms")))
+        return T.let(T.let(wanted, kept), lambda near: T.let(F.transform(w["clauses"], lambda x: _best(x, near)), lambda each: judged(each, w["whole"], near)))
 
-    return T.let(F.transform(T.compound_clauses(claim), lambda c: best(c, passages)), judged)
+    return T.let(F.struct(weigh(claim).alias("whole"), F.transform(T.compound_clauses(claim), weigh).alias("clauses")), met)
 
 
 def exploded_weights(claims: DataFrame, id_col: str, text_col: str) -> DataFrame:
